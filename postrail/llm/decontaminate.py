@@ -62,7 +62,7 @@ class WindowSet:
         for item, words in rows:
             ids = np.array([number(w, len(self.vocabulary)) for w in words], np.int32)
             size = min(width, len(ids))
-            for i in range(len(ids) - size + 1):
+            for i in range(len(ids) - size + 1 if size else 0):
                 found[size][ids[i : i + size].tobytes()].add(item)
         self.tables = {}
         for size, windows in found.items():

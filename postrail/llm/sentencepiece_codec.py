@@ -232,7 +232,7 @@ class Codec:
         """Normalised bytes of each piece; where the model has no byte fallback, unknown runs have their own text's."""
         if not (ids == self.unknown).any():
             return self.sizes[ids]
-        return np.array([len(p.surface.encode()) for w in words for p in self.merger.encode(w, out_type="immutable_proto").pieces], np.int64)
+        return np.array([len(p.surface.encode()) for w in words for p in self.merger.encode(w, return_type="proto").pieces], np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist()) if len(ids) else ""
