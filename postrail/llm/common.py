@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that are no longer referred to, so that disk is free for what follows."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that `column` holds about `limit` bytes in each, whole rows always."""
     for batch in batches:
