@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, sampling, sentencepiece_codec, simhash, substrings, topk, toxicity
+from . import brown, decontaminate, language, quality, sampling, sentencepiece_codec, simhash, substrings, topk, toxicity, urls
 from .common import remainder, table
 
 #: Where the public vocabularies are, in the order tried; a parameter of the operators.
@@ -71,6 +71,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_quality, op6_benchmark_decontamination, op7_exact_topk, op8_sentencepiece)
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts, model = brown.fit(docs, (remainder(5) >= 0) & (remainder(5) != 1))
+    found = brown.score(docs, counts, model)
+    return found.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_quality, op6_benchmark_decontamination, op7_exact_topk, op8_sentencepiece, op9_brown_lm, op10_url_filter)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
