@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,27 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir, so that it outlives executors.
-
-    A folder of our own is set only where the session names none, as in local tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where the session names none, as in local tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postrail-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder, so that it outlives executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again: columnar and compressed, for wide rows."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that are no longer referred to, so that disk is free for what follows."""
     gc.collect()

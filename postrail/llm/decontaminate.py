@@ -111,14 +111,14 @@ def slices(benchmark: DataFrame, width: int, item: str = "item_id", text: str =
         yield WindowSet(rows, width)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: Iterable[str] = ("doc_id",), item: str = "item_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: Iterable[str] = ("doc_id",), item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """Columns `keep` and n_words, n_hit, items (array of item ids as strings), clean (the text without its hit words)."""
     spark = docs.sparkSession
     keep = list(keep)
     names = [f"k{i}" for i in range(len(keep))]
     frame = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
-    shared = [spark.sparkContext.broadcast(s) for s in slices(benchmark, width, item, text)]
+    shared = [spark.sparkContext.broadcast(s) for s in slices(benchmark, width, item, item_text)]
     groups = [shared[i : i + PASS_SLICES] for i in range(0, len(shared), PASS_SLICES)] or [[]]
     for group in groups[:-1]:
         frame = checkpoint(frame.mapInArrow(_pass(group, names, False), f"{kinds}, text string, hits binary, items array<string>"))
