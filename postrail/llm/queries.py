@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, language, quality, sampling, sentencepiece_codec, simhash, substrings, topk, toxicity, urls
+from . import brown, decontaminate, language, oracle, quality, sampling, sentencepiece_codec, simhash, substrings, topk, toxicity, urls
 from .common import remainder, table
 
 #: Where the public vocabularies are, in the order tried; a parameter of the operators.
@@ -84,4 +84,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_quality, op6_benchmark_decontamination, op7_exact_topk, op8_sentencepiece, op9_brown_lm, op10_url_filter)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)

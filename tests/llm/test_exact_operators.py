@@ -204,3 +204,45 @@ def test_topk_large_components(spark):
 
 def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("width", [5, 12, 50])
+def test_substring_dedup(spark, monkeypatch, width):
+    from postrail.llm import substrings
+
+    rng = random.Random(width)
+    words = [f"w{i}" for i in range(400)]
+    hot = rng.choices(words, k=70)
+    texts = []
+    for i in range(80):
+        own = rng.choices(words, k=rng.randint(0, 150))
+        if i % 3 == 0:
+            own[len(own) // 2 : len(own) // 2] = hot
+        if i % 7 == 3 and texts:
+            own = (texts[-1] or "").split()[: 10 + i]
+        if i % 11 == 5 and len(texts) > 4:
+            own = texts[-4].split() + [f"e{i}"] + own
+        texts.append(("\n" if i % 2 else " ").join(own))
+    texts += [None, "", "x " * 400, "x " * 120 + "y", " \t", "a\x0bb é", texts[0], texts[1].upper() * 2]
+    ids = [(i * 37) % 101 for i in range(len(texts))]
+    ids[5] = ids[6]  # two texts with one id
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 300)
+    monkeypatch.setattr(substrings, "PIECE_WINDOWS", 20)
+    docs = frame(spark, texts + [texts[3], "n " * 90], ids + [ids[3], None])
+    least = {}
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    for i, own in zip(ids, split):
+        for j in range(len(own) - width + 1):
+            key = tuple(own[j : j + width])
+            least[key] = min(least.get(key, i), i)
+    want = [(None, 90, 0, " ".join(["n"] * 90))]
+    for i, own in [*zip(ids, split), (ids[3], split[3])]:
+        gone = set()
+        for j in range(len(own) - width + 1):
+            if least[tuple(own[j : j + width])] < i:
+                gone |= set(range(j, j + width))
+        want.append((i, len(own), len(gone), " ".join(w for j, w in enumerate(own) if j not in gone)))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, width).collect()]
+    assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+    assert sum(r[2] for r in got) > 500
