@@ -4,7 +4,7 @@ For a piece that begins at position a, a line with slope s stays within the boun
 its positions iff, for all i < j, low[j] - high[i] <= s (j - i) <= high[j] - low[i]. The piece therefore
 carries two limits of the slope, each with the pair that attains it, and grows while they do not cross.
 The pair of a new limit is a tangent from the new point to a convex chain of earlier points. Limits
-only tighten, so a chain's front is passed once. All comparisons are of products of whole numbers.
+only tighten, so a chain's front is passed once, and a bound that does not tighten its limit never meets a later line. All comparisons are of products of whole numbers.
 """
 
 from __future__ import annotations
@@ -66,21 +66,22 @@ def reach(docs: list[int], begin: int, epsilon: int) -> tuple[int, tuple[int, in
     ceilings.add(x, high2)
     for x in range(begin + 2, n):
         y = docs[x]
-        low, high = max(0, y - epsilon), min(GREATEST, y + epsilon)
+        low = y - epsilon if y > epsilon else 0
+        high = y + epsilon if y < GREATEST - epsilon else GREATEST
         ax, ay, bx, by = steep
         cx, cy, dx, dy = flat
-        above = (by - ay) * (x - ax) + (ay - low) * (bx - ax)  # steep line less the lower bound, scaled
-        under = (dy - cy) * (x - cx) + (cy - high) * (dx - cx)  # flat line less the upper bound, scaled
-        if above < 0 or under > 0:
+        run, span = (by - ay) * (x - ax) + ay * (bx - ax), bx - ax  # the steep line at x, scaled by its pair's distance
+        rise, step = (dy - cy) * (x - cx) + cy * (dx - cx), dx - cx  # and the flat line
+        if run < low * span or rise > high * step:
             return x, steep
-        if (by - ay) * (x - ax) + (ay - high) * (bx - ax) > 0:
+        if run > high * span:
             i = floors.tangent(x, high)
             steep = floors.xs[i], floors.ys[i], x, high
-        if (dy - cy) * (x - cx) + (cy - low) * (dx - cx) < 0:
+            ceilings.add(x, high)
+        if rise < low * step:
             i = ceilings.tangent(x, low)
             flat = ceilings.xs[i], ceilings.ys[i], x, low
-        floors.add(x, low)
-        ceilings.add(x, high)
+            floors.add(x, low)
     return n, steep
 
 
