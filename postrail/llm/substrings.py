@@ -10,8 +10,8 @@ a document with a smaller id. The work is done in steps that each stay linear in
    pre-aggregated minimum and maximum. Hashes with two ids are recurring, and owned by the least id.
 3. Passages. Each owner's recurring windows are laid together to passages, cut into pieces of bounded
    length that overlap by a window less a word.
-4. Automata. Each bucket of documents gets the pieces that share an anchor with it. Their blocks of
-   width/2 words, of which every window holds one, are compiled to Aho-Corasick automata, in shards
+4. Automata. Each bucket of documents gets the pieces that share an anchor with it. Their cores, of
+   which every window holds one, are compiled to Aho-Corasick automata, in shards
    of bounded size, whose letters are words. Every document of the bucket is streamed through them;
    each hit is compared word by word along its diagonal, and runs of at least a window are removed.
    Hashes thus only propose; words decide.
@@ -28,7 +28,6 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,9 @@ from .common import checkpoint, pieces, raw_texts, release
 
 WIDTH, SHINGLE = 50, 8
 #: Text of a bucket, windows of a piece, and words of an automaton.
-BUCKET_BYTES, PIECE_WINDOWS, SHARD_WORDS = 4 << 20, 128, 400_000
+BUCKET_BYTES, PIECE_WINDOWS, SHARD_WORDS = 4 << 20, 128, 120_000
+#: Letters that spell a word in an automaton.
+LETTERS = 3
 _STEP = 0x9E3779B97F4A7C15
 _powers = np.ones((2, 1), np.uint64)
 
@@ -58,24 +59,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def windows(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word, from all bytes of the text at once."""
+    data = np.frombuffer(raw, np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = np.diff(np.append(starts, len(data)))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
+    value = data[starts[0] :].astype(np.uint64) + np.uint64(1)
+    value *= powers(int(lengths.max()))[0, place]
+    value[space[starts[0] :]] = 0
+    return _mix(np.add.reduceat(value, starts - starts[0]))
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` consecutive values, by running minima from both ends of blocks."""
+    n = len(values)
+    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = values
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+def windows(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of `width` words its hash and its anchor's hash, as int64; empty for fewer words."""
+    words = word_hashes(raw)
     n = len(words)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     shingle = min(SHINGLE, width)
     steps = powers(n + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n) * steps[0, :n])])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * steps[0, :n])])
     short = _mix((sums[shingle:] - sums[:-shingle]) * steps[1, : n - shingle + 1])
     whole = _mix((sums[width:] - sums[:-width]) * steps[1, : n - width + 1])
-    least = np.lib.stride_tricks.sliding_window_view(short, width - shingle + 1).argmin(1)
-    return whole.view(np.int64), short[least + np.arange(len(whole))].view(np.int64)
+    return whole.view(np.int64), _least(short, width - shingle + 1).view(np.int64)
 
 
 def _anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = [np.unique(windows(raw.split(), width)[1]) for raw in raw_texts(batch.column("text"))]
+            found = [np.unique(windows(raw, width)[1]) for raw in raw_texts(batch.column("text"))]
             rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column("id").take(pa.array(rows)), batch.column("bucket").take(pa.array(rows))], ["anchor", "id", "bucket"])
 
@@ -88,7 +119,7 @@ def _confirm(width: int):
         hashes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for one, raw in zip(docs.column("id").to_pylist(), _raws(docs) if len(known) else ()):
             if one is not None:
-                whole, anchor = windows(raw.split(), width)
+                whole, anchor = windows(raw, width)
                 whole = np.unique(whole[_among(anchor, known)])
                 hashes.append(whole)
                 ids.append(np.full(len(whole), one, np.int64))
@@ -112,7 +143,7 @@ def _passages(width: int):
                 continue
             seen.add((one, raw))
             words = raw.split()
-            whole, anchor = windows(words, width)
+            whole, anchor = windows(raw, width)
             first = np.zeros(len(whole), bool)
             first[np.unique(whole, return_index=True)[1]] = True  # a window that repeats in its owner is needed once
             at = np.flatnonzero(first & _among(whole, np.sort(hashes[a:b])))
@@ -141,46 +172,65 @@ def _raws(docs: pa.Table) -> Iterator[bytes]:
 
 
 class Shard:
-    """An automaton over blocks of passages; its letters are words."""
+    """An automaton over the cores of passages; its letters are words.
+
+    A core is what width/4 consecutive windows of a passage have in common, so each window holds one.
+    """
 
     def __init__(self, passages: list[tuple[int, list[bytes]]], width: int):
-        self.width, block = width, max(1, width // 2)
+        self.width, together = width, max(1, width // 4)
         self.numbers: dict[bytes, int] = {}
         number = self.numbers.setdefault
         self.passages = [(owner, np.array([number(w, len(self.numbers) + 1) for w in words], np.int32)) for owner, words in passages]
-        self.letters = {w: _letter(i) for w, i in self.numbers.items()}
-        self.block, places = block, {}
+        self.base = max(2, int(len(self.numbers) ** (1 / LETTERS)) + 1)
+        self.letters = {w: self._spell(i) for w, i in self.numbers.items()}
+        places: dict[str, list] = {}
         for p, (_, words) in enumerate(passages):
-            for k in range(0, len(words) - block + 1, block):
-                places.setdefault("".join(map(self.letters.__getitem__, words[k : k + block])), []).append((p, k))
+            line = "".join(map(self.letters.__getitem__, words))
+            for i in range(0, len(words) - width + 1, together):
+                begin = min(i + together, len(words) - width + 1) - 1
+                core = line[LETTERS * begin : LETTERS * (i + width)]
+                places.setdefault(core, []).append((p, i + width - 1))
         self.automaton = ahocorasick.Automaton()
         for key, value in places.items():
             self.automaton.add_word(key, value)
         self.automaton.make_automaton()
 
+    def _spell(self, number: int) -> str:
+        """LETTERS letters for a word, so that no node of the automaton has many children; the first is of an alphabet of its own."""
+        out, n = [], number
+        for _ in range(LETTERS):
+            n, digit = divmod(n, self.base)
+            out.append(digit)
+        return chr(1 + self.base + out[0]) + "".join(chr(1 + d) for d in out[1:])
+
     def mark(self, one: int, words: list[bytes], gone: np.ndarray) -> None:
         """Marks in `gone` what this shard's passages of smaller ids cover in the document."""
         get = self.letters.get
-        line = "".join([get(w, "\0") for w in words])
-        numbers, done = None, set()
+        blank = "\0" * LETTERS
+        line = "".join([get(w, blank) for w in words])
+        numbers, done, width = None, set(), self.width
         for end, places in self.automaton.iter(line):
-            for p, k in places:
+            for p, last in places:
                 owner, passage = self.passages[p]
-                shift = end - self.block + 1 - k
+                shift = end // LETTERS - last
                 if owner >= one or (p, shift) in done:
                     continue
                 done.add((p, shift))
+                low, high = max(0, shift), min(len(words), shift + len(passage))
+                if gone[low:high].all():
+                    continue
                 if numbers is None:
                     numbers = np.array([self.numbers.get(w, 0) for w in words], np.int32)
-                low, high = max(0, shift), min(len(words), shift + len(passage))
-                same = numbers[low:high] == passage[low - shift : high - shift]
-                edges = np.flatnonzero(np.diff(same.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                for a, b in edges[edges[:, 1] - edges[:, 0] >= self.width] + low:
-                    gone[a:b] = True
-
-
-def _letter(number: int) -> str:
-    return chr(number if number < 0xD800 else number + 0x800)
+                breaks = np.flatnonzero(numbers[low:high] != passage[low - shift : high - shift]) + low
+                if not len(breaks):
+                    if high - low >= width:
+                        gone[low:high] = True
+                    continue
+                begins, ends = np.append(low, breaks + 1), np.append(breaks, high)
+                for a, b in zip(begins.tolist(), ends.tolist()):
+                    if b - a >= width:
+                        gone[a:b] = True
 
 
 def _remove(width: int, names: list[str]):
