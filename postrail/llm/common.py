@@ -48,6 +48,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows whose count `n` is above the least threshold that leaves at most `limit` of them.
+
+    Only a histogram of counts comes to the driver, so no task sends it its own `limit` greatest.
+    """
+    sizes = counts.groupBy(F.least(n, F.lit(1_000_000)).alias("c")).count().orderBy(F.desc("c"))
+    held, least = 0, 1_000_001
+    for c, rows in sizes.toLocalIterator():
+        if held + rows > limit:
+            break
+        held, least = held + rows, c
+    return counts.where(F.col(n) >= least)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that are no longer referred to, so that disk is free for what follows."""
     for _ in range(2):  # references go from Python to the JVM first, by another thread, and from there to the executors

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, pieces
+from .sampling import least_by_hash
 
 SAMPLE_ROWS, GRAMS, SHARE, SIZE, HASHES = 8192, 20_000, 0.4, 18, 3
 _OTHER = re.compile(r"[\W\d_]+")
@@ -72,7 +73,7 @@ class Filters:
 
 def fit(docs: DataFrame, trains: Column, rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filters:
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & trains)
-    chosen = known.select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct().orderBy(F.xxhash64("key"), "key", "lang").limit(rows)
+    chosen = least_by_hash(known.select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct(), ["key", "lang"], rows)
     texts = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), ["key", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

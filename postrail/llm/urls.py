@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, most_frequent
+
 #: Tokens that the segmenter and the classifier hold at most, the most frequent ones.
 VOCABULARY, LONGEST, REMEMBERED = 50_000, 24, 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,7 +136,7 @@ def fit(urls: DataFrame) -> tuple[Segmenter, Bayes]:
 
 
 def _most(counts: DataFrame) -> list:
-    return counts.orderBy(F.desc("n"), *[c for c in counts.columns if c != "n"]).limit(VOCABULARY).collect()
+    return most_frequent(checkpoint(counts), "n", VOCABULARY).collect()
 
 
 def _rows(counts: Counter) -> pa.RecordBatch:
