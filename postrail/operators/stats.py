@@ -127,6 +127,13 @@ def spline_residuals(segments: DataFrame) -> DataFrame:
     return rows.select("list_id", "seg_id", "j", value.cast("long").alias("spline"))
 
 
+def plain_residual_size(index: Index) -> DataFrame:
+    """(list_id, plain_bits, beyond): residuals at full width with a sign bit each, and how many are beyond the bound plus one."""
+    e = index.segments.select("list_id", "epsilon", F.explode("residual").alias("e"))
+    beyond = F.sum(F.when(F.abs("e") > F.col("epsilon") + 1, 1).otherwise(0))
+    return e.groupBy("list_id").agg(F.sum(bit_width(F.col("epsilon")) + 1).alias("plain_bits"), beyond.alias("beyond"))
+
+
 def code_lengths(counts: dict[int, int]) -> dict[int, int]:
     """Lengths of a Huffman code; ties to the smaller symbol. A lone symbol has one bit."""
     heap = [(n, s, (s,)) for s, n in counts.items()]

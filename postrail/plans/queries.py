@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import approximate, bit_ceiling, bit_width, doubles, key_of_timestamp, morton, pack, sign_of, slope, text_of_big, truncated_div, unmorton, unpack, words
+from ..functions import approximate, bit_ceiling, bit_width, doubles, find, find_value, insert, key_of_timestamp, morton, pack, remove, sign_of, slope, text_of_big, truncated_div, unmorton, unpack, words
 from ..operators import decode as decoding
 from ..operators import search, setops, spatial, stats
 from ..operators.lines import EPSILONS
@@ -268,6 +268,8 @@ register(None, "residual_quantiles")(lambda s, d: stats.residual_quantiles(build
 register(None, "second_difference_cost")(lambda s, d: stats.second_difference_cost(build_index(supp(s, d))))
 register(None, "second_difference_report")(lambda s, d: stats.second_difference_report(build_index(supp(s, d))))
 register(None, "spline_residuals")(lambda s, d: stats.spline_residuals(build_index(supp(s, d), 63).segments))
+register(f"SELECT list_id, 7 * count(*) AS plain_bits, CAST(0 AS BIGINT) AS beyond FROM ({SUPP}) GROUP BY list_id", "plain_residual_size")(lambda s, d: stats.plain_residual_size(build_index(supp(s, d), 63)))
+register(None, "huffman_table")(lambda s, d: stats.huffman_table(build_index(supp(s, d), 63)))
 register(None, "huffman_size")(lambda s, d: stats.huffman_size(build_index(supp(s, d))))
 register(None, "patched_size")(lambda s, d: stats.patched_size(build_index(supp(s, d))))
 
@@ -306,6 +308,16 @@ def packed_fields(s: SparkSession, d: str) -> DataFrame:
     return lists.select("list_id", F.explode(unpack(pack(F.col("v"), width), width, F.size("v"))).alias("value"))
 
 
+@register("SELECT n_nationkey AS key, n_nationkey % 5 <> 2 AS found, CASE WHEN n_nationkey % 5 = 2 THEN NULL WHEN n_nationkey % 5 = 0 THEN n_nationkey + 100 ELSE n_nationkey % 5 END AS value FROM nation")
+def keyed_store(s: SparkSession, d: str) -> DataFrame:
+    """A store of 0 to 4, with one key removed and one set anew in each row."""
+    key = F.col("n_nationkey").cast("long")
+    store = F.map_from_arrays(F.array(*[F.lit(i).cast("long") for i in range(5)]), F.array(*[F.lit(i).cast("long") for i in range(5)]))
+    rows = table(s, d, "nation").select(key.alias("key"), insert(remove(store, F.lit(2).cast("long")), F.lit(0).cast("long"), key + 100).alias("store"))
+    asked = (F.col("key") % 5).cast("long")
+    return rows.select("key", find(F.col("store"), asked).alias("found"), find_value(F.col("store"), asked).alias("value"))
+
+
 _LINES = "1 2 3| 4   5 |7 x 9||2 2 8 1|abc|10"
 
 
