@@ -204,6 +204,19 @@ def test_brown_without_training_rows(spark):
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[2].n_tokens == 1 and got[1].base_score == pytest.approx(0)
 
 
+def test_bounded_choices(spark):
+    from postrail.llm.common import most_frequent
+
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id").repartition(7)
+    chosen = sorted(r.doc_id for r in sampling.least_by_hash(ids, ["doc_id"], 300).collect())
+    want = ids.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 32), "doc_id").limit(300)
+    assert chosen == sorted(r.doc_id for r in want.collect())
+    assert sampling.least_by_hash(ids, ["doc_id"], 9000).count() == 5000
+    counts = spark.createDataFrame([(c, c) for c in range(10)] + [(100 + i, 5) for i in range(4)], "w long, n long")
+    assert sorted(r.n for r in most_frequent(counts, "n", 8).collect()) == [6, 7, 8, 9]
+    assert most_frequent(counts, "n", 99).count() == 14 and most_frequent(counts.where("false"), "n", 3).count() == 0
+
+
 def test_urls(spark):
     rows = ["https://WWW.A.net/x?q#f", "http://a.net", "a.net/x", None, "://b.Example.net/en/1", "http://example.net/en", "http://xexample.com/de/", "http://s.example.com/de/5?u=http://c/", "http://k.org/fr/9", "http://k.org/f", "ftp://h#x/y", "http://h?x/y", "", "http://adultcasino.example.org/en/3", "http://freenewsblog.example.org/en/3"]
     pages = spark.createDataFrame([(i, u, "<p>", "host") for i, u in enumerate(rows)], "page_id long, url string, html string, host string")
