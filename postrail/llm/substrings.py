@@ -24,6 +24,7 @@ share an id never take from each other; repeated rows get equal results. Empty t
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -35,10 +36,12 @@ from .common import checkpoint, pieces, raw_texts, release
 
 WIDTH, SHINGLE = 50, 8
 #: Text of a bucket, windows of a piece, and words of an automaton.
-BUCKET_BYTES, PIECE_WINDOWS, SHARD_WORDS = 4 << 20, 128, 120_000
+BUCKET_BYTES, PIECE_WINDOWS, SHARD_WORDS = 4 << 20, 128, 500_000
 #: Letters that spell a word in an automaton.
-LETTERS = 3
+LETTERS = 2
 _STEP = 0x9E3779B97F4A7C15
+#: Bytes of a text up to which a table of powers covers all of it.
+PREFIX = 1 << 21
 _powers = np.ones((2, 1), np.uint64)
 
 
@@ -64,12 +67,18 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word, from all bytes of the text at once."""
+    """A hash of each word, the sum of (byte + 1) times powers of a factor by place, from all bytes of the text at once."""
     data = np.frombuffer(raw, np.uint8)
     space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) <= PREFIX:  # differences of running sums, shifted back to the word's start
+        steps = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * steps[0, : len(data)], out=sums[1:])
+        return _mix((sums[ends] - sums[starts]) * steps[1, starts])
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
     value = data[starts[0] :].astype(np.uint64) + np.uint64(1)
@@ -174,15 +183,15 @@ def _raws(docs: pa.Table) -> Iterator[bytes]:
 class Shard:
     """An automaton over the cores of passages; its letters are words.
 
-    A core is what width/4 consecutive windows of a passage have in common, so each window holds one.
+    A core is what width/2 + 1 consecutive windows of a passage have in common, so each window holds one.
     """
 
     def __init__(self, passages: list[tuple[int, list[bytes]]], width: int):
-        self.width, together = width, max(1, width // 4)
-        self.numbers: dict[bytes, int] = {}
-        number = self.numbers.setdefault
-        self.passages = [(owner, np.array([number(w, len(self.numbers) + 1) for w in words], np.int32)) for owner, words in passages]
-        self.base = max(2, int(len(self.numbers) ** (1 / LETTERS)) + 1)
+        self.width, together = width, width // 2 + 1
+        self.numbers: dict[bytes, int] = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable([words for _, words in passages])), 1)}
+        number = self.numbers.__getitem__
+        self.passages = [(owner, np.fromiter(map(number, words), np.int32, len(words))) for owner, words in passages]
+        self.base = max(2, int((len(self.numbers) + 1) ** (1 / LETTERS)) + 1)
         self.letters = {w: self._spell(i) for w, i in self.numbers.items()}
         places: dict[str, list] = {}
         for p, (_, words) in enumerate(passages):
@@ -202,13 +211,13 @@ class Shard:
         for _ in range(LETTERS):
             n, digit = divmod(n, self.base)
             out.append(digit)
-        return chr(1 + self.base + out[0]) + "".join(chr(1 + d) for d in out[1:])
+        return chr(1 + self.base + out[0]) + "".join([chr(1 + d) for d in out[1:]])
 
     def mark(self, one: int, words: list[bytes], gone: np.ndarray) -> None:
         """Marks in `gone` what this shard's passages of smaller ids cover in the document."""
         get = self.letters.get
         blank = "\0" * LETTERS
-        line = "".join([get(w, blank) for w in words])
+        line = "".join(map(get, words, repeat(blank)))
         numbers, done, width = None, set(), self.width
         for end, places in self.automaton.iter(line):
             for p, last in places:
