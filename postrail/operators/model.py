@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,22 +140,23 @@ def build_index(postings: DataFrame, epsilon: int | str = "adaptive", chunk: int
     if not adaptive and epsilon not in EPSILONS:
         raise ValueError(f"epsilon must be adaptive or one of {EPSILONS}")
     parts = chunks(postings, chunk)
-    metrics = candidates(parts, EPSILONS if adaptive else (int(epsilon),))
+    # twelve small rows a chunk, asked for by sizes and by offsets; what is lost with an executor is measured anew
+    metrics = candidates(parts, EPSILONS if adaptive else (int(epsilon),)).persist(StorageLevel.MEMORY_AND_DISK)
     lists = choose(per_list(metrics))
     if adaptive:
         fitted = parts.join(lists.select("list_id", "epsilon"), "list_id")
     else:
         fitted = parts.withColumn("epsilon", F.lit(int(epsilon)))
     lines = fitted.select("list_id", "chunk", "docs", "epsilon").mapInArrow(_fit, _SEGMENTS)
-    return Index(lists, _placed(lines, parts))
+    return Index(lists, _placed(lines, metrics))
 
 
-def _placed(lines: DataFrame, parts: DataFrame) -> DataFrame:
+def _placed(lines: DataFrame, metrics: DataFrame) -> DataFrame:
     """Positions and numbers of lines within the whole list. Only lists of several chunks have anything before a chunk."""
-    counts = lines.groupBy("list_id", "chunk").agg(F.sum("covered").alias("n"), F.count("*").alias("s")).where("chunk >= 0")
-    before = Window.partitionBy("list_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("list_id", "chunk", F.sum("n").over(before).alias("positions"), F.sum("s").over(before).alias("segments")).where("positions IS NOT NULL")
-    out = lines.join(offsets, ["list_id", "chunk"], "left")
+    before = Window.partitionBy("list_id", "epsilon").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = metrics.select("list_id", "epsilon", "chunk", F.sum("n").over(before).alias("positions"), F.sum("n_segments").over(before).alias("segments"))
+    offsets = counts.where("positions IS NOT NULL")
+    out = lines.join(offsets, ["list_id", "epsilon", "chunk"], "left")
     zero = F.lit(0)
     return out.select(
         "list_id", "epsilon", (F.col("seg") + F.coalesce("segments", zero)).cast("int").alias("seg_id"), (F.col("start") + F.coalesce("positions", zero)).alias("first"), "covered", "intercept", "slope_exponent", "slope_significand", "seg_min_doc", "seg_max_doc", "residual"
