@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postrail.llm import decontaminate, sampling, sentencepiece_codec, simhash, substrings, toxicity
+from postrail.llm import decontaminate, sampling, sentencepiece_codec, shingles, substrings, toxicity
 from postrail.llm.common import remainder, stored, table
 from postrail.llm.queries import tokenizer_path
 
@@ -35,10 +35,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of linked fingerprints the row with the least id; repeated rows count once."""
+    """Keeps of each component the row with the least id; repeated rows count once.
+
+    Texts link if their sets of 5-word shingles have a Jaccard similarity of at least 0.8; SimHash and MinHash propose the pairs.
+    """
     rows, names = _carried(docs)
     key, text = names["doc_id"], names["text"]
-    keepers = simhash.near_duplicates(rows, text=text, key=key).select("keeper.*").distinct()
+    keepers = shingles.keepers(rows, text, key)
     rows = rows.withColumn("own", F.xxhash64(text))
     kept = rows.join(keepers, F.col(key).eqNullSafe(F.col("key")) & (F.col("own") == F.col("body")), "left_semi")
     return _restored(kept.dropDuplicates([key, "own"]), names)

@@ -112,3 +112,26 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs.where("false"), folder).count() == 0
     changed = corpus_pipeline.drop_repeats(spark, docs, folder)
     assert changed.where(F.col("text").isNotNull() & (F.col("n_chars") != F.length("text"))).count() == 0
+
+
+def test_near_copies_down_to_similarity(spark):
+    """Planted copies at 0.8 to 0.95 of 5-word shingles go, those below 0.8 stay; the links are all pairs' exact ones."""
+    rng = random.Random(33)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    grams = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    similarity = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    rows, gone, wide = [], set(), 0
+    for i in range(120):
+        own = fresh(rng.randint(150, 400))
+        other = list(own)
+        while similarity(own, other) > 0.97 - 0.25 * i / 120:
+            other[rng.randrange(len(own))] = fresh(1)[0]
+        rows += [(i, " ".join(own)), (1000 + i, " ".join(other))]
+        if similarity(own, other) >= 0.8:
+            gone.add(1000 + i)
+            codes = [simhash.fingerprint(" ".join(x).encode()) % 2**64 for x in (own, other)]
+            wide += (codes[0] ^ codes[1]).bit_count() > 4
+    assert wide > 30 and 50 < len(gone) < 110
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - gone
