@@ -197,6 +197,20 @@ def test_exchange_raises_the_likelihood():
     assert len({(label[i], groups[shuffled[i]]) for i in range(24)}) == 3
 
 
+def test_brown_assigns_words_beyond_the_top(spark, monkeypatch):
+    """Words of three kinds take turns; the seed has a few of each, and every other word joins a class of its own kind."""
+    monkeypatch.setattr(brown, "TOP", 12)
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    rng = random.Random(9)
+    often = {k: [f"{k}{i}" for i in range(4)] for k in "xyz"}
+    seldom = {k: [f"{k}{i}" for i in range(4, 30)] for k in "xyz"}
+    texts = [" ".join(rng.choice(often[k] if rng.random() < 0.7 else seldom[k]) for _ in range(20) for k in "xyz") for _ in range(300)]
+    docs = docs_of(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    _, model = brown.fit(docs, F.lit(True))
+    kinds = {k: {int(model.kind[model.number[w.encode()]]) for w in often[k] + seldom[k]} for k in "xyz"}
+    assert not kinds["x"] & kinds["y"] and not kinds["x"] & kinds["z"] and not kinds["y"] & kinds["z"]
+
+
 def test_brown_without_training_rows(spark):
     docs = docs_of(spark, [(1, "a b", None), (2, None, None)])
     counts, model = brown.fit(docs, F.lit(False))
