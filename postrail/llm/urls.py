@@ -3,7 +3,8 @@
 Host labels are often words run together; a unigram Viterbi splits them. The unigram counts come from
 the path, query and fragment tokens of all urls and from a short list of common words. The multinomial
 naive Bayes learns from the urls that the rules decide, and from seed words; it scores the words of
-the segmented host and of the path. A rule, where one fits, has the last word: it fits its host and
+the segmented host and of the path. All counts stay on the cluster, whole: the pieces of the distinct host
+labels are joined with the unigram counts, and the tokens of the urls with their weights. A rule, where one fits, has the last word: it fits its host and
 all subdomains if the url's path starts with the rule's, and the longest rule wins (ties to the first).
 
 A null url, or one without `://`, has an empty host and path, no rule and the prior's verdict. Equal
@@ -13,7 +14,6 @@ scores allow. Repeated urls are judged alike.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, most_frequent
+from .common import checkpoint
 
-#: Tokens that the segmenter and the classifier hold at most, the most frequent ones.
-VOCABULARY, LONGEST, REMEMBERED = 50_000, 24, 200_000
+#: Letters of a segmenter's word at most.
+LONGEST = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Common words for the segmenter, and seed words for each verdict.
@@ -35,7 +35,6 @@ SEEDS = {
     "block": "adult porn xxx sex casino bet betting poker slots gambling viagra pills warez torrent crack malware phishing spam escort nude hack ad ads tracker".split(),
     "allow": "news blog wiki docs school library science health travel university museum open learn article guide help support weather".split(),
 }
-_TOKEN = re.compile("[a-z]+")
 
 
 def host_of(url: str | Column) -> Column:
@@ -58,103 +57,92 @@ def split_urls(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url
     return out.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-class Segmenter:
-    """Unigram Viterbi over the characters of a host label."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.costs = {w: -math.log(n / total) for w, n in counts.items() if len(w) <= LONGEST}
-        self.rest = math.log(total) + 2.0  # an unknown run costs this, and more for each further letter
-        self.known: dict[str, list[str]] = {}
-
-    def split(self, label: str) -> list[str]:
-        if label in self.known:
-            return self.known[label]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        n, get = len(label), self.costs.get
-        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - LONGEST), end):
-                word = label[begin:end]
-                cost = get(word)
-                cost = best[begin] + (self.rest + 1.5 * (end - begin) if cost is None else cost)
-                if cost < best[end]:
-                    best[end], back[end] = cost, begin
-        out, end = [], n
-        while end:
-            out.append(label[back[end] : end])
-            end = back[end]
-        self.known[label] = out[::-1]
-        return self.known[label]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        words = [f"h:{w}" for label in _TOKEN.findall(host) for w in self.split(label)]
-        return words + [f"p:{w}" for w in _TOKEN.findall(path.lower())]
-
-
-class Bayes:
-    def __init__(self, words: dict[str, Counter], urls: Counter):
-        vocabulary = set(words["block"]) | set(words["allow"])
-        total = {v: sum(words[v].values()) + len(vocabulary) + 1 for v in words}
-        self.weights = {w: math.log((words["block"][w] + 1) / total["block"]) - math.log((words["allow"][w] + 1) / total["allow"]) for w in vocabulary}
-        self.prior = math.log((urls["block"] + 1) / (urls["allow"] + 1))
-
-    def blocks(self, tokens: list[str]) -> bool:
-        get = self.weights.get
-        return self.prior + sum(get(t, 0.0) for t in tokens) > 1e-12
-
-
-def fit(urls: DataFrame) -> tuple[Segmenter, Bayes]:
-    """Counts over all urls; only the most frequent tokens come to the driver."""
+def split(label: str, counts: dict[str, int], total: int) -> list[str]:
+    """Unigram Viterbi over the characters of a host label; `counts` has all pieces of it that are words."""
+    rest = math.log(total or 1) + 2.0  # an unknown run costs this, and more for each further letter
+    costs = {w: -math.log(n / total) for w, n in counts.items()}
+    n = len(label)
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for end in range(1, n + 1):
+        for begin in range(max(0, end - LONGEST), end):
+            cost = costs.get(label[begin:end])
+            cost = best[begin] + (rest + 1.5 * (end - begin) if cost is None else cost)
+            if cost < best[end]:
+                best[end], back[end] = cost, begin
+    out, end = [], n
+    while end:
+        out.append(label[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def _words(text: Column | str) -> Column:
+    return F.regexp_extract_all(text, F.lit("([a-z]+)"))
+
+
+def unigrams(urls: DataFrame) -> DataFrame:
+    """(w, n) of all path, query and fragment tokens and of the fixed words."""
+    spark = urls.sparkSession
     tail = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*(.*)", 1)
-    tokens = urls.select(F.explode(F.regexp_extract_all(F.lower(tail), F.lit("([a-z]+)"))).alias("w"))
-    unigram = Counter({r.w: r.n for r in _most(tokens.groupBy("w").agg(F.count("*").alias("n")))})
-    unigram.update({w: 20 for w in [*COMMON, *SEEDS["block"], *SEEDS["allow"]]})
-    segmenter = Segmenter(dict(unigram))
-    shared = urls.sparkSession.sparkContext.broadcast(segmenter)
+    fixed = Counter(dict.fromkeys([*COMMON, *SEEDS["block"], *SEEDS["allow"]], 20))
+    tokens = urls.select(F.explode(_words(F.lower(tail))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return checkpoint(tokens.union(spark.createDataFrame(list(fixed.items()), "w string, n long")).groupBy("w").agg(F.sum("n").alias("n")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for ruled, host, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                counts[ruled, ""] += 1
-                counts.update([(ruled, t) for t in shared.value.tokens(host, path)])
-            if len(counts) > 200_000:
-                yield _rows(counts)
-                counts.clear()
-        yield _rows(counts)
-
-    counted = urls.where("ruled IS NOT NULL").select("ruled", "host", "path").mapInArrow(run, "ruled string, w string, n long")
-    words, totals = {v: Counter({f"{side}:{w}": 5 for w in SEEDS[v] for side in "hp"}) for v in SEEDS}, Counter()
-    for r in _most(counted.groupBy("ruled", "w").agg(F.sum("n").alias("n"))):
-        if r.w:
-            words[r.ruled][r.w] += r.n
-        else:
-            totals[r.ruled] += r.n
-    return segmenter, Bayes(words, totals)
 
+def segmented(urls: DataFrame) -> DataFrame:
+    """(host, parts): the words of each distinct host that has letters, in order."""
+    counts = unigrams(urls)
+    total = counts.agg(F.sum("n")).first()[0]
 
-def _most(counts: DataFrame) -> list:
-    return most_frequent(checkpoint(counts), "n", VOCABULARY).collect()
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column("label").to_pylist()
+            pieces = [sorted({x[a:b] for a in range(len(x)) for b in range(a + 1, min(len(x), a + LONGEST) + 1)}) for x in labels]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(pieces, pa.list_(pa.string()))], ["label", "pieces"])
 
-def _rows(counts: Counter) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["ruled", "w", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, known = batch.column("label").to_pylist(), batch.column("known").to_pylist()
+            parts = [split(x, {k["w"]: k["n"] for k in found or ()}, total) for x, found in zip(labels, known)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(parts, pa.list_(pa.string()))], ["label", "parts"])
+
+    hosts = checkpoint(urls.select("host").distinct().select("host", F.posexplode(_words("host")).alias("place", "label")))
+    labels = hosts.select("label").distinct()
+    cuts = labels.mapInArrow(cut, "label string, pieces array<string>").select("label", F.explode("pieces").alias("w"))
+    known = cuts.join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    parts = labels.join(known, "label", "left").mapInArrow(run, "label string, parts array<string>")
+    placed = hosts.join(parts, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "parts"))).alias("x"))
+    return placed.select("host", F.flatten("x.parts").alias("parts"))
+
+
+def tokenized(urls: DataFrame) -> DataFrame:
+    """`urls` with an id of each row and its tokens."""
+    rows = checkpoint(urls.withColumn("uid", F.monotonically_increasing_id()))
+    tag = lambda side, words: F.transform(words, lambda w: F.concat(F.lit(side), w))
+    parts = F.coalesce("parts", F.array().cast("array<string>"))
+    return checkpoint(rows.join(segmented(rows), "host", "left").withColumn("tokens", F.concat(tag("h:", parts), tag("p:", _words(F.lower("path"))))).drop("parts"))
+
+
+def weights(rows: DataFrame) -> tuple[DataFrame, float]:
+    """(w, weight) of every token of a decided url or seed, and the prior."""
+    spark = rows.sparkSession
+    seeds = spark.createDataFrame([(f"{side}:{w}", 5 * (v == "block"), 5 * (v == "allow")) for v in SEEDS for w in SEEDS[v] for side in "hp"], "w string, block long, allow long")
+    decided = rows.where("ruled IS NOT NULL")
+    each = [F.count(F.when(F.col("ruled") == v, 1)).alias(v) for v in SEEDS]
+    counts = decided.select("ruled", F.explode("tokens").alias("w")).groupBy("w").agg(*each).select("w", "block", "allow").union(seeds)
+    counts = checkpoint(counts.groupBy("w").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
+    block, allow, distinct = counts.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
+    odds = F.log((F.col("block") + 1) / F.lit(block + distinct + 1)) - F.log((F.col("allow") + 1) / F.lit(allow + distinct + 1))
+    blocked, allowed = decided.agg(*each).first()
+    return counts.select("w", odds.alias("weight")), math.log((blocked + 1) / (allowed + 1))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, words) of every url; words are the segmented tokens."""
-    urls = split_urls(pages, rules, key, url)
-    shared = pages.sparkSession.sparkContext.broadcast(fit(urls))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            segmenter, bayes = shared.value
-            tokens = [segmenter.tokens(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
-            verdicts = [r or ("block" if bayes.blocks(t) else "allow") for r, t in zip(batch.column("ruled").to_pylist(), tokens)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array([" ".join(t) for t in tokens], pa.string())], ["key", "host", "path", "rule", "verdict", "words"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return urls.select("key", "host", "path", "rule", "ruled").mapInArrow(run, f"key {kind}, host string, path string, rule string, verdict string, words string").withColumnRenamed("key", key)
+    rows = tokenized(split_urls(pages, rules, key, url))
+    table, prior = weights(rows)
+    asked = rows.where("ruled IS NULL").select("uid", F.explode("tokens").alias("w"))
+    sums = asked.join(table, "w").groupBy("uid").agg(F.sum("weight").alias("sum"))
+    score = F.lit(prior) + F.coalesce("sum", F.lit(0.0))
+    verdict = F.coalesce("ruled", F.when(score > 1e-12, "block").otherwise("allow"))
+    return rows.join(sums, "uid", "left").select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), F.array_join("tokens", " ").alias("words"))

@@ -253,6 +253,17 @@ def test_urls(spark):
     assert urls.judge(pages.where("false")).count() == 0
 
 
+def test_urls_use_every_token(spark):
+    """More distinct tokens than any fixed vocabulary: a word seen once still splits a host, and one seen once still judges."""
+    word = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, f"http://a.net/{word(i)}") for i in range(51_000)] + [(60_000, f"http://x.com/{word(7)}"), (60_001, f"http://{word(7)}{word(9)}.com/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages, (("block", "net/"),)).where("page_id >= 60000").collect()}
+    assert f"h:{word(7)} h:{word(9)}" in got[60_001].words
+    table, _ = urls.weights(urls.tokenized(urls.split_urls(pages, (("block", "net/"),))))
+    assert table.where(F.col("w") == f"p:{word(50_999)}").count() == 1
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7)]
