@@ -44,3 +44,9 @@ def test_query(spark, tables, name):
 
 def test_sql_only_for_queries():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_every_term_has_a_list(spark):
+    got = QUERIES["roundtrip_every_term"](spark, DATA)
+    assert got.select("list_id").distinct().count() == QUERIES["postings_all_terms"](spark, DATA).select("term").distinct().count() > 200
+    assert got.groupBy("list_id").count().where("count = 1").count() > 0
