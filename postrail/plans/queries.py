@@ -166,6 +166,29 @@ register("SELECT key, (SELECT count(*) FROM lineitem WHERE l_orderkey = key) AS
 )
 register(f"SELECT list_id, doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS following FROM ({SUPP}) WINDOW w AS (PARTITION BY list_id ORDER BY doc_id)", "next_posting")(lambda s, d: search.neighbours(supp(s, d), 1 << 11))
 
+# The same over every list: each posting and its neighbours are asked for, so keys spread over each list's whole range.
+EVERY_PROBE = f"SELECT DISTINCT list_id, doc_id + v AS key FROM ({SUPP}) s, (VALUES (-1), (0), (1)) t(v)"
+
+
+def every_probe(s: SparkSession, d: str) -> DataFrame:
+    near = F.explode(F.array(*[F.col("doc_id") + v for v in (-1, 0, 1)]))
+    return supp(s, d).select("list_id", near.alias("key")).distinct()
+
+
+def _every(select: str, side: str) -> str:
+    rows = f"SELECT list_id, doc_id, row_number() OVER (PARTITION BY list_id ORDER BY doc_id) - 1 AS pos FROM ({SUPP})"
+    return f"SELECT p.list_id, p.key, {select} FROM ({EVERY_PROBE}) p ASOF LEFT JOIN ({rows}) d ON p.list_id = d.list_id AND p.key {side} d.doc_id"
+
+
+register(_every("d.doc_id AS next_geq", "<="), "next_geq_every_list")(lambda s, d: search.next_geq(supp(s, d), every_probe(s, d)))
+register(_every("d.doc_id AS next_geq", "<="), "next_geq_on_index_every_list")(lambda s, d: search.next_geq(decoding.decode(build_index(supp(s, d), 63).segments), every_probe(s, d)))
+register(_every("d.doc_id AS lower_bound", "<="), "lower_bound_every_list")(lambda s, d: search.next_geq(supp(s, d), every_probe(s, d)).withColumnRenamed("next_geq", "lower_bound"))
+register(_every("d.doc_id AS upper_bound", "<"), "upper_bound_every_list")(lambda s, d: search.upper_bound(supp(s, d), every_probe(s, d)))
+register(_every("d.doc_id AS predecessor", ">="), "predecessor_every_list")(lambda s, d: search.located(supp(s, d), every_probe(s, d)).select("list_id", "key", "predecessor"))
+register(_every("coalesce(d.pos, 0) AS index", ">="), "max_not_greater_index_every_list")(lambda s, d: search.predecessor_index(supp(s, d), every_probe(s, d)))
+register(_every("coalesce(d.pos + 1, 0) AS rank", ">"), "lower_bound_index_every_list")(lambda s, d: search.located(supp(s, d), every_probe(s, d)).select("list_id", "key", "rank"))
+register(f"SELECT list_id, doc_id AS key FROM ({SUPP})", "contains_every_list")(lambda s, d: search.contains(supp(s, d), every_probe(s, d)))
+
 # Index ---------------------------------------------------------------------------------------------------------------
 
 _POSITIONS = f"SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY doc_id) - 1 AS pos, doc_id FROM ({SUPP})"
@@ -223,6 +246,23 @@ def search_window(s: SparkSession, d: str) -> DataFrame:
     return found.select("list_id", "pos", "doc_id", F.col("doc_id").between(F.col("low"), F.col("high")).alias("inside"))
 
 
+def _every_position(s: SparkSession, d: str) -> DataFrame:
+    lengths = supp(s, d).groupBy("list_id").agg(F.count("*").alias("n"))
+    return lengths.select("list_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
+
+
+@register(_POSITIONS)
+def access_every_pos(s: SparkSession, d: str) -> DataFrame:
+    return decoding.access(build_index(supp(s, d)).segments, _every_position(s, d))
+
+
+@register(f"SELECT list_id, pos, doc_id, true AS inside FROM ({_POSITIONS})")
+def search_window_every_pos(s: SparkSession, d: str) -> DataFrame:
+    segments = build_index(supp(s, d)).segments
+    found = search.search_window(segments, _every_position(s, d)).join(decoding.access(segments, _every_position(s, d)), ["list_id", "pos"])
+    return found.select("list_id", "pos", "doc_id", F.col("doc_id").between(F.col("low"), F.col("high")).alias("inside"))
+
+
 @register(f"SELECT list_id, doc_id FROM ({SUPP}) WHERE list_id IN (1, 3)")
 def load_selected(s: SparkSession, d: str) -> DataFrame:
     wanted = s.createDataFrame([(1,), (3,), (999999,)], "list_id long")
@@ -306,13 +346,16 @@ def arithmetic(s: SparkSession, d: str) -> DataFrame:
     return s.range(-500, 500).select(x.alias("x"), truncated_div(x, F.lit(7).cast("long")).alias("quotient"), sign_of(x).alias("negative"), F.abs(x).alias("size"), F.round(slope(x, F.lit(7)), 9).alias("slope"), line.alias("line"), text_of_big(x).alias("words"))
 
 
-@register(f"SELECT list_id, doc_id AS value FROM ({SUPP}) WHERE list_id < 20")
-def packed_fields(s: SparkSession, d: str) -> DataFrame:
-    lists = supp(s, d).where("list_id < 20").groupBy("list_id").agg(F.sort_array(F.collect_list("doc_id")).alias("v"))
+def _packed(rows: DataFrame) -> DataFrame:
+    lists = rows.groupBy("list_id").agg(F.sort_array(F.collect_list("doc_id")).alias("v"))
     width = bit_width(F.array_max("v"))
     return lists.select("list_id", F.explode(unpack(pack(F.col("v"), width), width, F.size("v"))).alias("value"))
 
 
+register(f"SELECT list_id, doc_id AS value FROM ({SUPP}) WHERE list_id < 20", "packed_fields")(lambda s, d: _packed(supp(s, d).where("list_id < 20")))
+register(f"SELECT list_id, doc_id AS value FROM ({SUPP})", "packed_fields_every_list")(lambda s, d: _packed(supp(s, d)))
+
+
 @register("SELECT n_nationkey AS key, n_nationkey % 5 <> 2 AS found, CASE WHEN n_nationkey % 5 = 2 THEN NULL WHEN n_nationkey % 5 = 0 THEN n_nationkey + 100 ELSE n_nationkey % 5 END AS value FROM nation")
 def keyed_store(s: SparkSession, d: str) -> DataFrame:
     """A store of 0 to 4, with one key removed and one set anew in each row."""
