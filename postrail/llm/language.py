@@ -7,7 +7,8 @@ of false positives, (hits - n f) / (1 - f); the largest corrected count decides,
 
 A language has a gram if the share of its training texts with it is at least `SHARE` times the
 greatest share over the languages, among its `GRAMS` most widespread. Training takes at most
-`SAMPLE_ROWS` labelled rows (those with the least hash of their id); every whole text is judged.
+`SAMPLE_ROWS` labelled rows of each language (those with the least hash of their id); grams of a single row count
+only for languages of fewer than `FEW` rows. Every whole text is judged.
 
 A null text, or one without a letter, is `und` with score 0, as are all if nothing could be learned. A
 text whose grams are in no filter has score 0 and the first language. Repeated rows are judged each on its own.
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, pieces
-from .sampling import least_by_hash
 
 SAMPLE_ROWS, GRAMS, SHARE, SIZE, HASHES = 8192, 20_000, 0.4, 18, 3
+FEW = 20
 _OTHER = re.compile(r"[\W\d_]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -73,7 +74,11 @@ class Filters:
 
 def fit(docs: DataFrame, trains: Column, rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filters:
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & trains)
-    chosen = least_by_hash(known.select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct(), ["key", "lang"], rows)
+    ids = known.select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct().withColumn("_order", F.shiftrightunsigned(F.xxhash64("key", "lang"), 32))
+    # a large language is thinned to about half as many again before its rows are ordered
+    thin = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where((F.col("n") <= 2 * rows) | (F.col("_order") < 1.5 * rows / F.col("n") * 2**32))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "key"))
+    chosen = checkpoint(thin.withColumn("place", place).where(F.col("place") <= rows).select("key", "lang"))
     texts = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), ["key", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +88,10 @@ def fit(docs: DataFrame, trains: Column, rows: int = SAMPLE_ROWS, text: str = "t
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(at)), pa.array(np.concatenate(found).view(np.int64))], ["lang", "gram"])
 
-    counted = texts.mapInArrow(run, "lang string, gram long").groupBy("lang", "gram").count().where("count >= 2")
-    counted = checkpoint(counted)
+    counted = texts.mapInArrow(run, "lang string, gram long").groupBy("lang", "gram").count()
     totals = F.broadcast(texts.groupBy("lang").agg(F.count("*").alias("n")))
-    rates = counted.join(totals, "lang").withColumn("rate", F.col("count") / F.col("n"))
+    counted = checkpoint(counted.join(totals, "lang").where((F.col("count") >= 2) | (F.col("n") < FEW)))
+    rates = counted.withColumn("rate", F.col("count") / F.col("n"))
     rates = rates.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("most"))
     ranked = rates.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))).where(F.col("place") <= GRAMS)
     kept: dict[str, list[int]] = {}

@@ -264,6 +264,14 @@ def test_urls_use_every_token(spark):
     assert table.where(F.col("w") == f"p:{word(50_999)}").count() == 1
 
 
+def test_rare_language_has_a_filter(spark):
+    from postrail.llm import language
+
+    rows = [(i, f"lorem ipsum dolor sit amet number {'abcdefghij'[i % 10] * 3}", "aa") for i in range(600)] + [(1000, "xyzzy qwrtz wvxyq zzkqj", "bb")]
+    filters = language.fit(docs_of(spark, rows), F.lit(True), rows=50)
+    assert filters.languages == ["aa", "bb"] and filters.judge("qwrtz xyzzy wvxyq")[0] == "bb" and filters.judge("dolor ipsum")[0] == "aa"
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7)]
