@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker handles at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that a Python worker handles at once, and of one text that it cuts up at once.
+CHUNK_BYTES, BLOCK_BYTES = 4 << 20, 1 << 18
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,47 +29,87 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none, as in local tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where the session names none and all is one machine, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postrail-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="postrail-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's setting by which an action's shuffle files go when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Frames made in here drop their shuffle files as soon as their action ends; what is made anew of them is shuffled anew."""
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder, so that it outlives executors."""
+    """Cuts the lineage in the shared folder, so that it outlives executors; shuffle files that led to it are dropped."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _freeing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again: columnar and compressed, for wide rows."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _freeing(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
-    """The rows whose count `n` is above the least threshold that leaves at most `limit` of them.
+def clear(spark: SparkSession) -> None:
+    """Removes all checkpoints and stored frames of this session; results that were not yet read are lost with them."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.delete(path, True)
+        files.mkdirs(path)
+
 
-    Only a histogram of counts comes to the driver, so no task sends it its own `limit` greatest.
+def least_by_hash(frame: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The `rows` distinct rows of least hash of their keys (ties by the keys), or all if there are fewer.
+
+    Rows are first thinned to about half as many again as are asked for, so that no task has to send its own
+    `rows` best to the driver; should too few be left, all are ordered.
     """
-    sizes = counts.groupBy(F.least(n, F.lit(1_000_000)).alias("c")).count().orderBy(F.desc("c"))
-    held, least = 0, 1_000_001
+    order = F.shiftrightunsigned(F.xxhash64(*keys), 32)
+    known = frame.withColumn("_order", order)
+    n = known.count()
+    if n > 2 * rows:
+        thin = known.where(F.col("_order") < int(1.5 * rows / n * 2**32))
+        known = thin if thin.count() >= rows else known
+    return known.orderBy("_order", *keys).limit(rows).drop("_order")
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int, key: str = "word") -> DataFrame:
+    """The `limit` rows with the greatest counts `n`, ties by least hash of `key`; all rows if there are fewer.
+
+    Only a histogram of counts comes to the driver, at most `limit` rows of it, so no task sends it its own `limit` greatest.
+    """
+    sizes = counts.groupBy(F.col(n).alias("c")).count().orderBy(F.desc("c"))
+    held, over = 0, None
     for c, rows in sizes.toLocalIterator():
         if held + rows > limit:
+            over = c
             break
-        held, least = held + rows, c
-    return counts.where(F.col(n) >= least)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that are no longer referred to, so that disk is free for what follows."""
-    for _ in range(2):  # references go from Python to the JVM first, by another thread, and from there to the executors
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        held += rows
+    if over is None:
+        return counts
+    above = counts.where(F.col(n) > over)
+    return above.union(least_by_hash(counts.where(F.col(n) == over), [key], limit - held)) if held < limit else above
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -89,3 +130,18 @@ def raw_texts(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 
+
+
+def blocks(raw: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes that end after a space or line end; a longer word stays whole."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        if end < len(raw):
+            cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end)) + 1
+            if cut <= at:
+                found = _SPACE.search(raw, end)
+                cut = found.end() if found else len(raw)
+            end = cut
+        yield raw[at:end]
+        at = end

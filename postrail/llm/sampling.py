@@ -5,34 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, least_by_hash
 
 #: Labelled rows that a classifier is fitted on at most, those with the least hash of their id.
 SAMPLE_ROWS = 12_000
 
 
-def least_by_hash(frame: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """The `rows` distinct rows of least hash of their keys (ties by the keys), or all if there are fewer.
-
-    Rows are first thinned to about half as many again as are asked for, so that no task has to send its own
-    `rows` best to the driver; should too few be left, all are ordered.
-    """
-    order = F.shiftrightunsigned(F.xxhash64(*keys), 32)
-    known = frame.withColumn("_order", order)
-    n = known.count()
-    if n > 2 * rows:
-        thin = known.where(F.col("_order") < int(1.5 * rows / n * 2**32))
-        known = thin if thin.count() >= rows else known
-    return known.orderBy("_order", *keys).limit(rows).drop("_order")
-
-
 def sample(docs: DataFrame, labels: DataFrame, label: str, trains: Column, rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
     """(doc_id, y, text): whole texts of at most `rows` labelled ids for which `trains` holds.
 
-    An id's labels are reduced to their greatest. The ids chosen are few enough to broadcast; all
-    rows of `docs` with a chosen id are taken, so an id that repeats without bound counts `rows` times at most.
+    An id's labels are reduced to their greatest, and its texts, where it has several, to the one of least hash, so an id
+    counts once however often it repeats. Rows without an id or a label are never taken. The ids chosen are few enough to broadcast.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & trains).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = least_by_hash(known, ["doc_id"], rows)
     found = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return checkpoint(found.select("doc_id", "y", "text"))
+    one = found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return checkpoint(one.select("doc_id", "y", "text"))

@@ -1,14 +1,17 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic model over the presence of words, and over how many distinct longer words (1, 2, 3, 5)
-begin with the same five letters, which catches inflected and compound insults. Its loss adds, for each training text that mentions an
-identity term, the squared change of the logit when the term is swapped for another of its kind, so
-that a neutral mention of a group neither raises nor lowers the score. The vocabulary is chosen, and
-the model fitted, on a bounded sample (`sampling.SAMPLE_ROWS` labelled rows, `VOCABULARY` words);
-every whole text is scored.
+begin with the same five letters, which catches inflected and compound insults. Each training text that mentions
+identity terms is also read with a term swapped for each other one of its kind, and for a word that no feature knows;
+where it has several terms of a kind, also with all of them swapped at once. All features of the swapped text are
+derived anew, and the loss adds the mean squared change of the logit over a text's swaps, so that a neutral
+mention of a group neither raises nor lowers the score. The vocabulary is chosen, and the model fitted, on a bounded
+sample (`sampling.SAMPLE_ROWS` labelled rows, `VOCABULARY` features); every whole text is scored.
 
 Null and empty texts have no words and get the score of the intercept. Without labels of both kinds
-the score is the share of label 1, or 0 without any label. Repeated rows are scored each on its own.
+the score is the share of label 1, or 0 without any label. Rows without an id are scored and not learnt from, repeated rows are scored
+each on its own, an empty table has no scores, and ties between features for the vocabulary go to the lesser word. Texts are
+read in blocks, so a very long one needs memory for its distinct words only. Columns other than those asked for are dropped.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, raw_texts
+from .common import blocks, pieces, raw_texts
 
 VOCABULARY = 2048
 #: Weight of the counterfactual term, of the squared weights, and steps of the fit.
-COUNTERFACTUAL, RIDGE, STEPS = 1.0, 1e-5, 300
+COUNTERFACTUAL, RIDGE, STEPS = 20.0, 1e-5, 300
 #: Least G2 statistic of a feature against the label.
 LEAST_G2 = 15.0
 # Identity terms by kind; fixed values. A term is swapped for the others of its kind.
@@ -44,12 +47,36 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff']+")
 STEM, COUNTS = 5, (1, 2, 3, 5)
 
 
-def features_of(raw: bytes) -> set[bytes]:
-    """The text's words, and `count^stem` for each stem that so many of its distinct longer words have."""
-    words = set(_WORD.findall(raw.lower()))
+def words_of(raw: bytes) -> set[bytes]:
+    found: set[bytes] = set()
+    for block in blocks(raw):
+        found.update(_WORD.findall(block.lower()))
+    return found
+
+
+def derived(words: set[bytes]) -> set[bytes]:
+    """The words, and `count^stem` for each stem that so many of the distinct longer words have."""
     stems = Counter([w.decode("utf-8", "ignore")[:STEM] for w in words if len(w) > STEM])
-    words.update([f"{n}^{stem}".encode() for stem, count in stems.items() for n in COUNTS if count >= n])
-    return words
+    return words.union([f"{n}^{stem}".encode() for stem, count in stems.items() for n in COUNTS if count >= n])
+
+
+def features_of(raw: bytes) -> set[bytes]:
+    return derived(words_of(raw))
+
+
+#: What a term is swapped for besides the terms of its kind; no feature is made of it.
+NOBODY = b""
+
+
+def swaps_of(words: set[bytes], kinds: list[list[bytes]]) -> Iterator[set[bytes]]:
+    """The words of a text with identity terms swapped: each for each other of its kind or `NOBODY`, and all of a kind at once."""
+    for kind in kinds:
+        own = words.intersection(kind)
+        groups = [{term} for term in sorted(own)] + ([own] if len(own) > 1 else [])
+        for gone in groups:
+            for new in [*kind, NOBODY]:
+                if new not in gone or len(gone) > 1:
+                    yield words - gone | ({new} - {NOBODY})
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,12 +96,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _features(vocabulary: dict[bytes, int]):
+def encoded(raw: bytes, numbers: dict[bytes, int], kinds: list[list[bytes]]) -> tuple[list[int], list[list[int]]]:
+    """A text's features, and for each of its swaps the features gained (as number + 1) and lost (as its negative)."""
+    get, words = numbers.get, words_of(raw)
+    own = {i for i in map(get, derived(words)) if i is not None}
+    changes = []
+    for swapped in swaps_of(words, kinds):
+        new = {i for i in map(get, derived(swapped)) if i is not None}
+        changes.append([i + 1 for i in sorted(new - own)] + [-i - 1 for i in sorted(own - new)])
+    return sorted(own), changes
+
+
+def _features(numbers: dict[bytes, int], kinds: list[list[bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
         for batch in pieces(batches, "text"):
-            found = [sorted(i for i in map(get, features_of(raw)) if i is not None) for raw in raw_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "found"])
+            found = [encoded(raw, numbers, kinds) for raw in raw_texts(batch.column("text"))]
+            lists = [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "found", "swaps"])
 
     return run
 
@@ -89,36 +127,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def fit_rows(rows: list[list[int]], y: np.ndarray, size: int, kinds: list[list[int]], counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(r) for r in rows], np.int64)
+    return np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)])
+
+
+def fit_rows(rows: list[list[int]], swaps: list[list[list[int]]], y: np.ndarray, size: int, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """Weights and intercept: Adam on the logistic loss, ridge and the counterfactual term.
 
-    `kinds` has the feature numbers of the identity terms of each kind. For a text with term a, a swap
-    to b changes the logit by weights[b] - weights[a]; the term is the mean square over texts and swaps.
+    `rows` and `swaps` are as `encoded` gives them. A swap changes the logit by the weights of the features gained less
+    those of the features lost; the term is the mean square over a text's swaps, averaged over texts.
     """
-    lengths = np.array([len(r) for r in rows])
-    at = np.repeat(np.arange(len(rows)), lengths)
-    feature = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(at) else np.zeros(0, np.int64)
-    seen = np.bincount(feature, minlength=size)
-    pairs = [(a, b, seen[a] / max(1, len(rows)) / (len(kind) - 1)) for kind in kinds for a in kind for b in kind if a != b and seen[a]]
-    swap_a, swap_b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
-    share = np.array([p[2] for p in pairs])
+    at, feature = _flat(rows)
+    share: Counter = Counter()
+    for own in swaps:
+        for change in own:
+            share[tuple(change)] += 1 / (len(own) * len(rows))
+    share.pop((), None)
+    change, part = _flat(list(map(list, share)))
+    sign, part, weight = np.sign(part).astype(float), np.abs(part) - 1, np.array(list(share.values()))
     weights, intercept = np.zeros(size), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
         logit = intercept + np.bincount(at, weights[feature], len(rows))
         error = 1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y
         slope = np.append(np.bincount(feature, error[at], size) / len(rows) + RIDGE * weights, error.mean())
-        change = 2 * counterfactual * share * (weights[swap_b] - weights[swap_a])
-        np.add.at(slope, swap_b, change)
-        np.add.at(slope, swap_a, -change)
+        moved = 2 * counterfactual * weight * np.bincount(change, sign * weights[part], len(weight))
+        slope[:-1] += np.bincount(part, sign * moved[change], size)
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
-        move = 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        move = 0.15 * 0.99**step * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         weights, intercept = weights - move[:-1], intercept - move[-1]
     return weights, float(intercept)
 
 
 def fit(sampled: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    """The model of a sample with columns doc_id, y, text."""
+    """The model of a sample with columns doc_id, y, text; what comes to the driver is bounded by the sample's rows and `vocabulary`."""
     totals = dict(sampled.groupBy("y").count().collect())
     no, yes = totals.get(0, 0), totals.get(1, 0)
     if not no or not yes:
@@ -135,9 +178,9 @@ def fit(sampled: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     terms = [[t.encode() for t in kind] for kind in IDENTITY.values()]
     numbers = {w: i for i, w in enumerate(dict.fromkeys([*chosen, *(t for kind in terms for t in kind)]))}
     kind = sampled.schema["doc_id"].dataType.simpleString()
-    rows = sampled.mapInArrow(_features(numbers), f"doc_id {kind}, y int, found array<int>").collect()
+    rows = sampled.mapInArrow(_features(numbers, terms), f"doc_id {kind}, y int, found array<int>, swaps array<array<int>>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.found))
-    weights, intercept = fit_rows([r.found for r in rows], np.array([r.y for r in rows], float), len(numbers), [[numbers[t] for t in kind] for kind in terms])
+    weights, intercept = fit_rows([r.found for r in rows], [r.swaps for r in rows], np.array([r.y for r in rows], float), len(numbers))
     return Model({w: float(weights[i]) for w, i in numbers.items()}, intercept)
 
 

@@ -84,12 +84,63 @@ def test_toxicity(spark):
     assert max(r.score for r in toxicity.score(docs, nothing).collect()) < 0.01
 
 
-def test_counterfactual_term_pulls_identity_weights_together():
-    rows = [[0, 2]] * 30 + [[1, 3]] * 30 + [[0, 3]] * 3
-    y = np.array([1.0] * 30 + [0.0] * 33)
-    free, _ = toxicity.fit_rows(rows, y, 4, [[0, 1]], 0.0)
-    held, _ = toxicity.fit_rows(rows, y, 4, [[0, 1]], 10.0)
-    assert abs(held[0] - held[1]) < 0.2 * abs(free[0] - free[1])
+def learned(rows):
+    """The model of (text, label) rows, with the vocabulary chosen in plain Python."""
+    y = np.array([label for _, label in rows], float)
+    yes, no = int(y.sum()), int(len(y) - y.sum())
+    counts = Counter((w, label) for t, label in rows for w in toxicity.features_of(t.encode()))
+    h = lambda x: x * math.log(x) if x > 0 else 0.0
+    found = []
+    for w in {w for w, _ in counts}:
+        a, b = counts[w, 1], counts[w, 0]
+        g2 = 2 * (h(a) + h(b) + h(yes - a) + h(no - b) - h(a + b) - h(yes + no - a - b) - h(yes) - h(no) + h(yes + no))
+        if a + b >= 3 and g2 >= toxicity.LEAST_G2:
+            found.append((-round(g2, 9), w))
+    kinds = [[t.encode() for t in kind] for kind in toxicity.IDENTITY.values()]
+    numbers = {w: i for i, w in enumerate(dict.fromkeys([*(w for _, w in sorted(found)[: toxicity.VOCABULARY]), *(t for kind in kinds for t in kind)]))}
+    coded = [toxicity.encoded(t.encode(), numbers, kinds) for t, _ in rows]
+    weights, intercept = toxicity.fit_rows([c[0] for c in coded], [c[1] for c in coded], y, len(numbers))
+    return toxicity.Model({w: float(weights[i]) for w, i in numbers.items()}, intercept)
+
+
+@pytest.mark.parametrize("kind", list(toxicity.IDENTITY))
+def test_neutral_mentions_of_every_term(kind):
+    """A term in four of five toxic texts, insults in three of five: the term alone must not raise a score, nor do its stems."""
+    for term in toxicity.IDENTITY[kind]:
+        rng, rows = random.Random(sum(map(ord, term))), []
+        for i in range(400):
+            words, bad = text_of(rng, "aa", 30).split(), int(i % 4 == 0)
+            if bad and rng.random() < 0.6:
+                words[3:3] = rng.sample(["grubble", "snarf", "wozzle"], 2)
+            if bad and rng.random() < 0.8:
+                words.insert(1, term)
+            rows.append((" ".join(words), bad))
+        model, clean = learned(rows), text_of(random.Random(9), "aa", 30)
+        plain, insulted, *mentions = model.scores([x.encode() for x in (clean, clean + " snarf wozzle", *(f"{clean} {t}" for t in toxicity.IDENTITY[kind]))])
+        assert max(mentions) - min(mentions) < 0.1 and max(abs(m - plain) for m in mentions) < 0.1
+        assert insulted > 0.9
+
+
+def test_swaps_derive_all_features_anew():
+    kinds = [[b"muslim", b"hindu", b"jew"]]
+    numbers = {w: i for i, w in enumerate([b"muslim", b"hindu", b"jew", b"1^musli", b"2^musli", b"x"])}
+    own, changes = toxicity.encoded(b"x muslim musliy", numbers, kinds)
+    assert own == [0, 3, 4, 5]
+    assert changes == [[2, -1, -5], [3, -1, -5], [-1, -5]]  # to hindu, to jew, to nobody; one word of the stem is left
+    _, several = toxicity.encoded(b"hindu muslim", numbers, kinds)
+    assert len(several) == 3 + 3 + 4
+    assert [-2] in several and [-1, -4] in several  # a swap for a term that is there already, and of one that brings a stem
+    assert [3, -1, -2, -4] in several  # both at once
+    assert toxicity.encoded(b"", numbers, kinds) == ([], [])
+
+
+def test_samples_keep_their_bound(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(5000)] + [(i, "other") for i in range(100, 150)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (None, 1)] + [(i, 0) for i in range(100, 150)], "doc_id long, toxic int")
+    found = sampling.sample(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert len(found) == 10 and len({r.doc_id for r in found}) == 10
+    every = {r.doc_id: r.y for r in sampling.sample(docs, labels, "toxic", F.lit(True), 100).collect()}
+    assert every == {7: 1} | dict.fromkeys(range(100, 150), 0)
 
 
 def test_quality(spark):
@@ -227,8 +278,11 @@ def test_bounded_choices(spark):
     assert chosen == sorted(r.doc_id for r in want.collect())
     assert sampling.least_by_hash(ids, ["doc_id"], 9000).count() == 5000
     counts = spark.createDataFrame([(c, c) for c in range(10)] + [(100 + i, 5) for i in range(4)], "w long, n long")
-    assert sorted(r.n for r in most_frequent(counts, "n", 8).collect()) == [6, 7, 8, 9]
-    assert most_frequent(counts, "n", 99).count() == 14 and most_frequent(counts.where("false"), "n", 3).count() == 0
+    assert sorted(r.n for r in most_frequent(counts, "n", 8, "w").collect()) == [5, 5, 5, 5, 6, 7, 8, 9]
+    assert most_frequent(counts, "n", 99, "w").count() == 14 and most_frequent(counts.where("false"), "n", 3, "w").count() == 0
+    many = spark.createDataFrame([(i, 2_000_000 + i) for i in range(100)], "w long, n long")
+    assert sorted(r.w for r in most_frequent(many, "n", 10, "w").collect()) == list(range(90, 100))
+    assert most_frequent(many.withColumn("n", F.lit(3)), "n", 10, "w").count() == 10
 
 
 def test_urls(spark):
