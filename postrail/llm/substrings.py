@@ -5,20 +5,23 @@ a document with a smaller id. The work is done in steps that each stay linear in
 
 1. Anchors. Every document is winnowed: of the 8-word shingles inside a window the one with the least
    hash is its anchor, so equal windows have equal anchors, and only one position in twenty is an
-   anchor. Anchors of two or more ids are kept, with the buckets of documents that hold them.
-2. Confirmation. Windows with a kept anchor are hashed; each hash's least and greatest id are a
-   pre-aggregated minimum and maximum. Hashes with two ids are recurring, and owned by the least id.
-3. Passages. Each owner's recurring windows are laid together to passages, cut into pieces of bounded
-   length that overlap by a window less a word.
-4. Automata. Each bucket of documents gets the pieces that share an anchor with it. Their cores, of
-   which every window holds one, are compiled to Aho-Corasick automata, in shards
-   of bounded size, whose letters are words. Every document of the bucket is streamed through them;
-   each hit is compared word by word along its diagonal, and runs of at least a window are removed.
-   Hashes thus only propose; words decide.
-
-A bucket is some MB of text chosen by hash of the id, so a hot passage costs each bucket one copy.
-Null texts have no words; rows with a null id are kept whole and take nothing from others. Rows that
-share an id never take from each other; repeated rows get equal results. Empty tables give no rows.
+   anchor. A bucket of documents keeps those of its anchors that two or more ids have.
+2. Confirmation. A bucket's windows with a kept anchor are hashed twice, and pre-aggregated to a row for each
+   window: its least document and place, and its greatest id. Windows of equal pairs of hashes (128 bits) are laid
+   together; the least document of all owns the window, and each bucket with a greater id asks for it.
+3. Passages. What is asked for is a stretch of its owner's words, `PIECE_WINDOWS` windows at most. A bucket asks for
+   a stretch only if a window of it occurs there, so pieces that merely lie near a hot passage go nowhere else.
+4. Automata. Each bucket gets the stretches it asked for. Their cores, of which every window holds one, are
+   compiled to Aho-Corasick automata, in shards of bounded size, whose letters are words. Every document of the
+   bucket is streamed through them; each hit is compared word by word along its diagonal, and runs of at
+   least a window are removed. Hashes thus only propose; words decide.
+
+A bucket is some MB of text chosen by hash of id and text, so a hot passage costs each bucket one copy, and rows that
+share an id are spread. A bucket is held by one task, and so is a text of any length.
+Ids are whole numbers. Null texts have no words; rows with a null id are kept whole, take nothing from others and are
+in no bucket. Rows that share an id never take from each other; repeated rows get equal results. Empty tables give no
+rows. There are no ties: of equal windows that of the least id, text and place is the owner's. Other columns than those
+of `keep` are dropped, and those may have any names. A window is lost only if both its hashes are those of another (chance n^2 / 2^129).
 """
 
 from __future__ import annotations
@@ -29,31 +32,31 @@ from itertools import chain, repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import checkpoint, pieces, raw_texts, release
+from .common import checkpoint, pieces, raw_texts
 
 WIDTH, SHINGLE = 50, 8
 #: Text of a bucket, windows of a piece, and words of an automaton.
 BUCKET_BYTES, PIECE_WINDOWS, SHARD_WORDS = 4 << 20, 128, 500_000
-#: Letters that spell a word in an automaton.
-LETTERS = 2
-_STEP = 0x9E3779B97F4A7C15
+#: Letters that spell a word in an automaton, and bits kept of a window's first hash.
+LETTERS, FIRST_BITS = 2, 64
+_STEP, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes of a text up to which a table of powers covers all of it.
 PREFIX = 1 << 21
-_powers = np.ones((2, 1), np.uint64)
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, factor: int = _STEP) -> np.ndarray:
     """Powers of an odd factor and of its inverse modulo 2^64."""
-    global _powers
-    if _powers.shape[1] < n:
+    if factor not in _powers or _powers[factor].shape[1] < n:
         size = 1 << max(12, (n - 1).bit_length())
         steps = np.ones((2, size), np.uint64)
-        steps[0, 1:], steps[1, 1:] = _STEP, pow(_STEP, -1, 1 << 64)
-        _powers = np.multiply.accumulate(steps, axis=1)
-    return _powers
+        steps[0, 1:], steps[1, 1:] = factor, pow(factor, -1, 1 << 64)
+        _powers[factor] = np.multiply.accumulate(steps, axis=1)
+    return _powers[factor]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,18 +101,20 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def _runs(words: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """A hash of each `width` consecutive words, by differences of running sums."""
+    steps = powers(len(words) + 1, factor)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * steps[0, : len(words)])])
+    return _mix((sums[width:] - sums[:-width]) * steps[1, : len(words) - width + 1])
+
+
 def windows(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of `width` words its hash and its anchor's hash, as int64; empty for fewer words."""
+    """The words' hashes, and for each window of `width` words its anchor's hash, as int64; empty for fewer words."""
     words = word_hashes(raw)
-    n = len(words)
-    if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(words) < width:
+        return words, np.zeros(0, np.int64)
     shingle = min(SHINGLE, width)
-    steps = powers(n + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * steps[0, :n])])
-    short = _mix((sums[shingle:] - sums[:-shingle]) * steps[1, : n - shingle + 1])
-    whole = _mix((sums[width:] - sums[:-width]) * steps[1, : n - width + 1])
-    return whole.view(np.int64), _least(short, width - shingle + 1).view(np.int64)
+    return words, _least(_runs(words, shingle, _STEP), width - shingle + 1).view(np.int64)
 
 
 def _anchors(width: int):
@@ -122,50 +127,54 @@ def _anchors(width: int):
     return run
 
 
-def _confirm(width: int):
+_WINDOWS = pa.schema([(n, pa.int32() if n == "pos" else pa.int64()) for n in ("bucket", "one", "two", "id", "body", "pos", "last")])
+
+
+def _confirm(width: int, bits: int):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         known = np.sort(shared.column("anchor").to_numpy())
-        hashes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for one, raw in zip(docs.column("id").to_pylist(), _raws(docs) if len(known) else ()):
-            if one is not None:
-                whole, anchor = windows(raw, width)
-                whole = np.unique(whole[_among(anchor, known)])
-                hashes.append(whole)
-                ids.append(np.full(len(whole), one, np.int64))
-        return pa.table({"window": np.concatenate(hashes), "id": np.concatenate(ids)})
+        if not len(known):
+            return _WINDOWS.empty_table()
+        ids, bodies = (docs.column(c).to_numpy() for c in ("id", "body"))
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple] = []
+        for i, raw in enumerate(_raws(docs)):
+            if (ids[i], bodies[i]) in seen:
+                continue
+            seen.add((ids[i], bodies[i]))
+            words, anchor = windows(raw, width)
+            at = np.flatnonzero(_among(anchor, known))
+            if len(at):
+                one, two = _runs(words, width, _STEP)[at] & np.uint64((1 << bits) - 1), _runs(words, width, _OTHER)[at]
+                held.append((one.view(np.int64), two.view(np.int64), np.full(len(at), i), at))
+        if not held:
+            return _WINDOWS.empty_table()
+        one, two, doc, pos = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((pos, bodies[doc], ids[doc], two, one))
+        one, two, doc, pos = one[order], two[order], doc[order], pos[order]
+        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new)) - 1
+        columns = [np.full(len(first), docs.column("bucket")[0].as_py()), one[first], two[first], ids[doc[first]], bodies[doc[first]], pos[first].astype(np.int32), ids[doc[last]]]
+        return pa.table(columns, _WINDOWS)
 
     return run
 
 
+_PASSAGES = pa.schema([("owner", pa.int64()), ("body", pa.int64()), ("chunk", pa.int32()), ("passage", pa.binary())])
+
+
 def _passages(width: int):
-    def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
-        owners = owned.column("owner").to_numpy()
-        order = np.argsort(owners, kind="stable")
-        owners, hashes = owners[order], owned.column("window").to_numpy()[order]
-        out: dict[str, list] = {"owner": [], "begin": [], "text": [], "anchors": []}
-        seen: set[tuple] = set()
-        for one, raw in zip(docs.column("id").to_pylist(), _raws(docs) if len(owners) else ()):
-            if one is None:
-                continue
-            a, b = np.searchsorted(owners, [one, one + 1])
-            if a == b or (one, raw) in seen:
-                continue
-            seen.add((one, raw))
-            words = raw.split()
-            whole, anchor = windows(raw, width)
-            first = np.zeros(len(whole), bool)
-            first[np.unique(whole, return_index=True)[1]] = True  # a window that repeats in its owner is needed once
-            at = np.flatnonzero(first & _among(whole, np.sort(hashes[a:b])))
-            runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
-            for run in runs:
-                for i in range(0, len(run), PIECE_WINDOWS):
-                    part = run[i : i + PIECE_WINDOWS]
-                    out["owner"].append(one)
-                    out["begin"].append(int(part[0]))
-                    out["text"].append(b" ".join(words[part[0] : part[-1] + width]))
-                    out["anchors"].append(np.unique(anchor[part]).tolist())
-        kinds = pa.schema({"owner": pa.int64(), "begin": pa.int64(), "text": pa.binary(), "anchors": pa.list_(pa.int64())})
-        return pa.table(out, kinds)
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        wanted: dict[tuple, list] = {}
+        for owner, body, *where in zip(*(asked.column(c).to_pylist() for c in ("owner", "body", "chunk", "low", "high"))):
+            wanted.setdefault((owner, body), []).append(where)
+        out: list[tuple] = []
+        keys = zip(docs.column("id").to_pylist(), docs.column("body").to_pylist())
+        for key, raw in zip(keys, _raws(docs) if wanted else ()):
+            if found := wanted.pop(key, None):
+                words = raw.split()
+                out += [(*key, chunk, b" ".join(words[low : high + width])) for chunk, low, high in found]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), _PASSAGES.types)], _PASSAGES) if out else _PASSAGES.empty_table()
 
     return run
 
@@ -242,13 +251,13 @@ class Shard:
                         gone[a:b] = True
 
 
-def _remove(width: int, names: list[str]):
+def _remove(width: int, names: list[str], shard_words: int):
     def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
         shards, held, size = [], [], 0
         for owner, text in zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist()):
             held.append((owner, text.split()))
             size += len(held[-1][1])
-            if size >= SHARD_WORDS:
+            if size >= shard_words:
                 shards.append(Shard(held, width))
                 held, size = [], 0
         if held:
@@ -257,7 +266,7 @@ def _remove(width: int, names: list[str]):
         for one, raw in zip(docs.column("id").to_pylist(), _raws(docs)):
             words = raw.split()
             gone = np.zeros(len(words), bool)
-            if one is not None and len(words) >= width:
+            if len(words) >= width:
                 for shard in shards:
                     shard.mark(one, words, gone)
             counts.append(len(words))
@@ -269,34 +278,47 @@ def _remove(width: int, names: list[str]):
     return run
 
 
+def _whole(names: list[str]):
+    """Rows that keep all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            words = [raw.split() for raw in raw_texts(batch.column("text"))]
+            columns = [pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, "n_words", "n_removed", "kept"])
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: Iterable[str] = ("doc_id",), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Columns `keep` and n_words, n_removed, kept (the kept words joined by one space), a row for each row of `docs`."""
     keep = list(keep)
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be a whole number")
     names = [f"k{i}" for i in range(len(keep))]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = int(total // BUCKET_BYTES) + 1
-    where = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n)).cast("int")
-    held = docs.select(where.alias("bucket"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(m) for c, m in zip(keep, names)])
-    bare = held.select("bucket", "id", "text")
-
-    anchors = bare.where("id IS NOT NULL").mapInArrow(_anchors(width), "anchor long, id long, bucket int")
-    # one set of buckets for each anchor of two ids: at most as many as there are buckets
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.collect_set("bucket").alias("buckets")).where("a < b").select("anchor", "buckets")
-    shared = checkpoint(shared)
-    spread = shared.select(F.explode("buckets").alias("bucket"), "anchor")
-    found = bare.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(_confirm(width), "window long, id long")
-    owned = found.groupBy("window").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
-    owned = owned.select(F.pmod(F.xxhash64("owner"), F.lit(n)).cast("int").alias("bucket"), "window", "owner")
-    passages = bare.groupBy("bucket").cogroup(owned.groupBy("bucket")).applyInArrow(_passages(width), "owner long, begin long, text binary, anchors array<long>")
-    passages = checkpoint(passages)
-    del found, owned
-    release(docs.sparkSession)
-
-    whom = passages.select("owner", "begin", F.xxhash64("text").alias("body"), F.explode("anchors").alias("anchor")).join(shared, "anchor")
-    whom = whom.select("owner", "begin", "body", F.explode("buckets").alias("bucket")).distinct()
-    sent = passages.select("owner", "begin", F.xxhash64("text").alias("body"), F.col("text").alias("passage")).join(whom, ["owner", "begin", "body"]).select("bucket", "owner", "passage")
+    bucket_of = lambda one, body: F.pmod(F.xxhash64(one, body), F.lit(n).cast("long")).alias("bucket")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(m) for c, m in zip(keep, names)])
+    held = rows.where("id IS NOT NULL").select(bucket_of("id", "body"), "*")
+    bare = held.select("bucket", "id", "body", "text")
+
+    pairs = bare.mapInArrow(_anchors(width), "anchor long, id long, bucket long").groupBy("anchor", "bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    every = Window.partitionBy("anchor")  # a row for each bucket at most
+    spread = checkpoint(pairs.select("bucket", "anchor", F.min("a").over(every).alias("a"), F.max("b").over(every).alias("b")).where("a < b").select("bucket", "anchor"))
+
+    found = bare.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(_confirm(width, FIRST_BITS), "bucket long, one long, two long, id long, body long, pos int, last long")
+    same = Window.partitionBy("one", "two").orderBy("id", "body", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    first = [F.first(c).over(same).alias(m) for c, m in (("id", "owner"), ("body", "from"), ("pos", "at"))]
+    late = found.select("bucket", "last", *first).where("owner < last").withColumn("chunk", F.floor(F.col("at") / PIECE_WINDOWS).cast("int"))
+    routes = checkpoint(late.groupBy("bucket", "owner", "from", "chunk").agg(F.min("at").alias("low"), F.max("at").alias("high")))
+
+    asked = routes.groupBy("owner", F.col("from").alias("body"), "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("bucket", bucket_of("owner", "body"))
+    passages = checkpoint(bare.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_passages(width), "owner long, body long, chunk int, passage binary"))
+    sent = routes.select("bucket", "owner", F.col("from").alias("body"), "chunk").join(passages, ["owner", "body", "chunk"]).select("bucket", "owner", "passage")
+
     kinds = ", ".join(f"{m} {docs.schema[c].dataType.simpleString()}" for c, m in zip(keep, names))
     schema = f"{kinds}, n_words long, n_removed long, kept string"
-    done = held.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_remove(width, names), schema)
+    done = held.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_remove(width, names, SHARD_WORDS), schema)
+    done = done.union(rows.where("id IS NULL").select(*names, "text").mapInArrow(_whole(names), schema))
     return done.select(*[F.col(m).alias(c) for c, m in zip(keep, names)], "n_words", "n_removed", "kept")
-

@@ -206,8 +206,9 @@ def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("width", [5, 12, 50])
-def test_substring_dedup(spark, monkeypatch, width):
+@pytest.mark.parametrize("width, bits", [(5, 64), (12, 64), (50, 64), (12, 2)])
+def test_substring_dedup(spark, monkeypatch, width, bits):
+    """With two bits left of the first hash nearly all windows collide in it; the second tells them apart."""
     from postrail.llm import substrings
 
     rng = random.Random(width)
@@ -229,6 +230,7 @@ def test_substring_dedup(spark, monkeypatch, width):
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 4000)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 300)
     monkeypatch.setattr(substrings, "PIECE_WINDOWS", 20)
+    monkeypatch.setattr(substrings, "FIRST_BITS", bits)
     docs = frame(spark, texts + [texts[3], "n " * 90], ids + [ids[3], None])
     least = {}
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
@@ -246,3 +248,17 @@ def test_substring_dedup(spark, monkeypatch, width):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, width).collect()]
     assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
     assert sum(r[2] for r in got) > 500
+
+
+def test_substring_dedup_of_odd_tables(spark):
+    from postrail.llm import substrings
+
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = frame(spark, [long, "head " + long + " tail", "x"], [5, 9, 7]).withColumnRenamed("items", "kept")
+    got = {r[0]: r for r in substrings.remove_repeats(docs, keep=("doc_id", "clean")).collect()}
+    assert got[5].n_removed == 0 and got[9].n_removed == 60_000 and got[9].kept == "head tail" and got[7].kept == "x" and got[7].clean == "clash"
+    assert substrings.remove_repeats(docs.where("false")).count() == 0
+    alone = substrings.remove_repeats(frame(spark, [long, long, None], [None, None, None])).collect()
+    assert [(r.n_words, r.n_removed) for r in sorted(alone, key=lambda r: -r.n_words)] == [(60_000, 0), (60_000, 0), (0, 0)]
+    with pytest.raises(TypeError):
+        substrings.remove_repeats(docs, key="clean")
