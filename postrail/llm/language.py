@@ -10,8 +10,12 @@ greatest share over the languages, among its `GRAMS` most widespread. Training t
 `SAMPLE_ROWS` labelled rows of each language (those with the least hash of their id); grams of a single row count
 only for languages of fewer than `FEW` rows. Every whole text is judged.
 
+The contracted choices that bound the model, not the data judged, are `SAMPLE_ROWS`, `GRAMS` and `SHARE`.
+
 A null text, or one without a letter, is `und` with score 0, as are all if nothing could be learned. A
-text whose grams are in no filter has score 0 and the first language. Repeated rows are judged each on its own.
+text whose grams are in no filter has score 0 and the first language. Repeated rows are judged each on its own, and an id
+that repeats in one language is learnt from once (its text of least hash); rows without an id are judged and not learnt from.
+Texts are read in blocks, so a very long one needs no more memory than a short one. An empty table has no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,17 +32,37 @@ from .common import checkpoint, pieces
 
 SAMPLE_ROWS, GRAMS, SHARE, SIZE, HASHES = 8192, 20_000, 0.4, 18, 3
 FEW = 20
+#: Letters of a text that are read at once.
+BLOCK = 1 << 17
 _OTHER = re.compile(r"[\W\d_]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+def gram_blocks(text: str, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """Three-letter windows over lower-cased words set apart by single spaces, as exact 63-bit numbers, some `size` letters at once."""
+    last, at = np.array([32], np.uint64), 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            end = text.rfind(" ", at, end) + 1 or end
+        line = _OTHER.sub(" ", text[at:end].lower())
+        if last[-1] == 32:
+            line = line.lstrip(" ")
+        at = end
+        if at >= len(text) and line[-1:] != " " and (line or last[-1] != 32):
+            line += " "
+        codes = np.concatenate([last, np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)])
+        if len(codes) > 2:
+            yield codes[:-2] | codes[1:-1] << np.uint64(21) | codes[2:] << np.uint64(42)
+        last = codes[-2:]
+
+
 def grams(text: str) -> np.ndarray:
-    """Three-letter windows over lower-cased words set apart by single spaces, as exact 63-bit numbers."""
-    line = f" {_OTHER.sub(' ', text.lower()).strip()} "
-    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(codes) < 3:
-        return np.zeros(0, np.uint64)
-    return codes[:-2] | codes[1:-1] << np.uint64(21) | codes[2:] << np.uint64(42)
+    return np.concatenate([np.zeros(0, np.uint64), *gram_blocks(text)])
+
+
+def distinct_grams(text: str) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, gram_blocks(text))]))
 
 
 class Filters:
@@ -60,14 +84,15 @@ class Filters:
     def judge(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
-        found = grams(text)
-        places = self._places(found)
-        hits = np.zeros(len(self.languages))
-        for p, plane in enumerate(self.planes):
-            masks = plane[places[0]] & plane[places[1]] & plane[places[2]]
-            for i in range(64 * p, min(len(self.languages), 64 * p + 64)):
-                hits[i] = np.count_nonzero(masks & np.uint64(1 << i % 64))
-        hits = np.maximum(0, (hits - len(found) * self.false) / np.maximum(1e-9, 1 - self.false))
+        hits, n = np.zeros(len(self.languages)), 0
+        for found in gram_blocks(text):
+            places = self._places(found)
+            n += len(found)
+            for p, plane in enumerate(self.planes):
+                masks = plane[places[0]] & plane[places[1]] & plane[places[2]]
+                for i in range(64 * p, min(len(self.languages), 64 * p + 64)):
+                    hits[i] += np.count_nonzero(masks & np.uint64(1 << i % 64))
+        hits = np.maximum(0, (hits - n * self.false) / np.maximum(1e-9, 1 - self.false))
         best = int(hits.argmax())
         return self.languages[best], float(hits[best] / hits.sum()) if hits.sum() > 0 else 0.0
 
@@ -80,10 +105,11 @@ def fit(docs: DataFrame, trains: Column, rows: int = SAMPLE_ROWS, text: str = "t
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "key"))
     chosen = checkpoint(thin.withColumn("place", place).where(F.col("place") <= rows).select("key", "lang"))
     texts = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), ["key", "lang"])
+    texts = texts.groupBy("key", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = [np.unique(grams(t)) for t in batch.column("text").to_pylist() if t] or [np.zeros(0, np.uint64)]
+            found = [distinct_grams(t) for t in batch.column("text").to_pylist() if t] or [np.zeros(0, np.uint64)]
             names = [n for n, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if t] or [""]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(at)), pa.array(np.concatenate(found).view(np.int64))], ["lang", "gram"])
