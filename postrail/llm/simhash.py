@@ -13,7 +13,9 @@ A bucket gives a star of links for each component, never all pairs; the stars ar
 components over the cluster.
 
 A null or blank text has the fingerprint zero and links like any other. Repeated rows fall in one
-class. A null id never becomes a component's id unless the component has no other.
+class. A null id never becomes a component's id unless the component has no other. Of rows that share the least id the one
+whose text has the least hash stands for the component. Texts are read in blocks, so a very long one takes its own size and little
+more. An empty table has no rows. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,30 +29,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pieces, raw_texts
+from .common import BLOCK_BYTES, blocks, checkpoint, pieces, raw_texts
 from .components import components
 
 SEED = 42
 FAN = 16
 #: The mean number of fingerprints in a bucket that more bands are kept for.
 BUCKET = 2048
+#: Parts that the members of components are dealt to, so that a very large one is met in several tasks.
+SALTS = 32
 #: Leaves that one block of searches may meet at most, unless a single search meets more.
 BLOCK = 4 << 20
 
 
-def fingerprint(raw: bytes, width: int = 4) -> int:
-    """SimHash of the word shingles of UTF-8 text, as a signed 64-bit number."""
-    words = raw.lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    width = min(width, len(words))
-    begins = np.concatenate([[0], ends[: len(words) - width]]).tolist()
+def fingerprint(raw: bytes, width: int = 4, size: int = BLOCK_BYTES) -> int:
+    """SimHash of the word shingles of UTF-8 text, as a signed 64-bit number; the text is read in blocks of `size` bytes."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins, (ends[width - 1 :] - 1).tolist())], np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for block in blocks(raw, size):
+        words += block.lower().split()  # bytes: A-Z only, and the six ASCII spaces
+        if len(words) < width:
+            continue
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begins = np.concatenate([[0], ends[: len(words) - width]]).tolist()
+        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins, (ends[width - 1 :] - 1).tolist())], np.uint64)
+        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(hashes)
+        words = words[len(words) - width + 1 :]  # the next block's first shingles begin with these
+    if not n and words:
+        ones, n = np.unpackbits(np.array([digest(b" ".join(words), SEED)], np.uint64).view(np.uint8)).astype(np.int64), 1
+    return int(np.packbits(2 * ones > n).view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -227,8 +236,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, text: st
     """
     rows = checkpoint(fingerprints(docs, width, text, key))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "body")).alias("keeper")))
-    found = components(links(classes, distance))
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "least", "keeper", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keeper").alias("keeper"))
-    known = rooted.select("fp", "root").join(heads, "root").select("fp", "component_id", "keeper")
+    linked = classes.join(components(links(classes, distance)), F.col("fp") == F.col("node")).select("fp", "least", "keeper", "root")
+    linked = checkpoint(linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))))
+    heads = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keeper").alias("head"))
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    far = linked.join(heads, ["root", "salt"]).select("fp", "component_id", "head")
+    known = classes.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("head", "keeper").alias("keeper"))
     return rows.join(known, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", F.struct("keeper.key", "keeper.body").alias("keeper"))
