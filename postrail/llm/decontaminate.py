@@ -6,11 +6,13 @@ the distinct windows into slices of bounded size, each broadcast: a vocabulary,
 polynomial hashes, the windows' word ids and the items of each window. Workers number the words of
 many documents at once by that vocabulary (a word that no item has is -1 and breaks every window),
 roll the hash over what is left, look it up and compare the words themselves, so a hash collision
-never counts. Documents are read once for each group of slices; nothing is shuffled.
+never counts. Documents are read once for each group of slices; nothing is shuffled. The driver reads the benchmark as a
+stream and holds one group of slices.
 
 Null and empty texts have no words and no hits; items without words hit nothing; items that share
 an id are one item, and an item with a null id hits but is not listed. Repeated rows are judged each
-on its own. The item order of equal windows does not matter: ids are listed once, sorted as strings.
+on its own. The item order of equal windows does not matter: ids are listed once, sorted as strings. Empty tables give
+no rows or no hits. A very long text takes some times its own size in a worker. Columns of `keep` may have any names; others are dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pieces, raw_texts
+from .common import pieces, raw_texts, stored
 
 WIDTH = 10
 #: Benchmark words in one broadcast slice (some 100 MB unpacked at most), and slices in one pass over the documents.
@@ -118,11 +120,15 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: Iterab
     names = [f"k{i}" for i in range(len(keep))]
     frame = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
-    shared = [spark.sparkContext.broadcast(s) for s in slices(benchmark, width, item, item_text)]
-    groups = [shared[i : i + PASS_SLICES] for i in range(0, len(shared), PASS_SLICES)] or [[]]
-    for group in groups[:-1]:
-        frame = checkpoint(frame.mapInArrow(_pass(group, names, False), f"{kinds}, text string, hits binary, items array<string>"))
-    done = frame.mapInArrow(_pass(groups[-1], names, True), f"{kinds}, n_words long, n_hit long, items array<string>, clean string")
+    group: list = []
+    for one in slices(benchmark, width, item, item_text):
+        if len(group) == PASS_SLICES:  # what this pass found is stored before the next slices are read
+            frame = stored(frame.mapInArrow(_pass(group, names, False), f"{kinds}, text string, hits binary, items array<string>"))
+            for shared in group:
+                shared.destroy()
+            group = []
+        group.append(spark.sparkContext.broadcast(one))
+    done = frame.mapInArrow(_pass(group, names, True), f"{kinds}, n_words long, n_hit long, items array<string>, clean string")
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "n_hit", "items", "clean")
 
 

@@ -1,7 +1,8 @@
 """Exact top-k inner-product search: tiled matrix products, partial selection, merging by query.
 
 Vectors are quantised to floor(scale * x). The queries are read in blocks of bounded size; each block
-is broadcast and every partition of candidates is multiplied with it tile by tile. A tile keeps, for
+is broadcast, which in Spark is by way of the driver, and taken back once its results are stored, so the driver and the
+executors hold `PLAN_BLOCKS` blocks at most. Every partition of candidates is multiplied with it tile by tile. A tile keeps, for
 each query, its k best by partial selection (ties to the smaller id); they are folded into the
 partition's list, and the lists of a query are merged in two levels. A block's products are exact:
 in doubles while no sum can pass 2^53, in 64-bit integers below 2^63, else in Python's integers.
@@ -9,7 +10,8 @@ Scores beyond 64 bits are returned as the nearest 64-bit number.
 
 Vectors that are null, hold a null or non-finite component, or have no id take no part. A query meets
 only vectors of its own length. A query's own row is left out once, so another row with the same id
-is a candidate; repeated query rows each give their list. An empty table gives no rows.
+is a candidate; repeated query rows each give their list. An empty table gives no rows, and neither does one without queries;
+a query without candidates has none. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,14 +106,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~bad)
     candidates = rows.select("id", "vector")
-    plans, done = [], []
+    plans, done, used = [], [], []
     for ids, block in _blocks(rows.where("asks").select("id", "vector"), scale):
-        shared = spark.sparkContext.broadcast(block)
-        lists = candidates.mapInArrow(_multiply(shared, k + 1, scale), "query int, part int, top array<struct<lost: long, id: long>>")
-        plans.append(_best(lists, ids, k))
         if len(plans) == PLAN_BLOCKS:
             done.append(checkpoint(_union(plans)))
-            plans = []
+            for shared in used:
+                shared.destroy()
+            plans, used = [], []
+        used.append(spark.sparkContext.broadcast(block))
+        lists = candidates.mapInArrow(_multiply(used[-1], k + 1, scale), "query int, part int, top array<struct<lost: long, id: long>>")
+        plans.append(_best(lists, ids, k))
     out = _union(done + plans)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 

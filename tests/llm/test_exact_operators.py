@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from postrail.llm import decontaminate, sentencepiece_codec, simhash, topk
+from postrail.llm import common, decontaminate, language, sentencepiece_codec, simhash, topk
 from postrail.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, clean string, items int, key string"
@@ -91,6 +91,51 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(empty).count() == 0
     assert decontaminate.find(empty, empty, item="doc_id").count() == 0
     assert sentencepiece_codec.encode_decode(empty, tokenizer_path()).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<double>, score long, rank int")
+    assert topk.search(vectors, F.col("vec_id") % 100 == 0).count() == 0
+    lone = spark.createDataFrame([(100, [1.0], 7, 7)], vectors.schema)
+    assert topk.search(lone, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_block_by_block_is_the_same():
+    rng = random.Random(4)
+    for t in ["".join(rng.choices("ab Cé\n\t日.", k=rng.randint(0, 80))) for _ in range(400)]:
+        raw = t.encode()
+        assert b"".join(common.blocks(raw, 7)) == raw
+        assert simhash.fingerprint(raw, 4, 9) == simhash.fingerprint(raw)
+        whole = language.grams(t)
+        for size in (1, 3, 10):
+            assert np.array_equal(np.concatenate([whole[:0], *language.gram_blocks(t, size)]), whole)
+
+
+def test_large_components_are_one(spark):
+    """A chain of fingerprints, each one bit off the last, around words that all differ."""
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(10**9)}" for _ in range(400)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(200)] + [" ".join(base), None]
+    got = simhash.near_duplicates(frame(spark, texts)).collect()
+    codes = {i: simhash.fingerprint((t or "").encode()) % 2**64 for i, t in enumerate(texts)}
+    assert {r.doc_id: r.component_id for r in got} == brute_components(codes, 4)
+    assert {r.doc_id: r.keeper.key for r in got} == {r.doc_id: r.component_id for r in got}
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{i % 70_000}" for i in range(300_000))  # 3 MB
+    docs = frame(spark, [long, "x" * 3_000_000])
+    assert simhash.near_duplicates(docs).count() == 2
+    r = {r.doc_id: r for r in sentencepiece_codec.encode_decode(docs.where("doc_id = 0"), tokenizer_path()).collect()}[0]
+    assert r.decoded == long and r.span_end[-1] == len(long)
+    items = spark.createDataFrame([(1, "word5 word6 word7 word8")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.find(docs, items).collect()} == {0: 20, 1: 0}
+
+
+def test_clear_removes_what_was_stored(spark, tmp_path):
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert common.stored(spark.range(5)).count() == 5 and common.checkpoint(spark.range(5)).count() == 5
+    common.clear(spark)
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    spark.sparkContext.setCheckpointDir(before.get() if before.isDefined() else str(tmp_path))
 
 
 def test_decontamination(spark, monkeypatch):
