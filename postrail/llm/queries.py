@@ -75,7 +75,7 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts, model = brown.fit(docs, (remainder(5) >= 0) & (remainder(5) != 1))
     found = brown.score(docs, counts, model)
-    return found.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

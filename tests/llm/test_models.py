@@ -248,6 +248,64 @@ def test_exchange_raises_the_likelihood():
     assert len({(label[i], groups[shuffled[i]]) for i in range(24)}) == 3
 
 
+def likelihood(pairs, label):
+    grid = np.zeros((label.max() + 1,) * 2)
+    np.add.at(grid, (label[:, None], label[None, :]), pairs)
+    h = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return h(grid) - h(grid.sum(0)) - h(grid.sum(1))
+
+
+def test_no_single_exchange_is_left():
+    rng = np.random.default_rng(3)
+    pairs = rng.poisson(3, (14, 14)) * rng.integers(0, 2, (14, 14)).astype(float)
+    label = brown.exchange(pairs, 4, 50, movable=11)
+    best = likelihood(pairs, label)
+    for w in range(11):
+        for c in range(4):
+            moved = label.copy()
+            moved[w] = c
+            assert likelihood(pairs, moved) <= best + 1e-9
+
+
+def test_brown_scores_by_plain_counting(spark, monkeypatch):
+    """Transitions, emissions and perplexity recomputed word by word, given the classes."""
+    monkeypatch.setattr(brown, "TABLE", 40)
+    monkeypatch.setattr(brown, "TOP", 12)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    rng = random.Random(12)
+    rows = [(i, text_of(rng, rng.choice(["aa", "bb"]), rng.randint(0, 25)), "x") for i in range(80)] + [(99, None, None)]
+    docs, learns = docs_of(spark, rows), lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    counts, model = brown.fit(docs, remainder(5) != 1)
+    kind = lambda w: model.end if w is None else int(model.kind[model.number.get(w.encode(), -1)])
+    seen, moves, out = Counter(), Counter(), Counter()
+    for i, t, _ in rows:
+        words = [*(t or "").split(), None]
+        if learns(i):
+            seen.update(words)
+            for a, b in zip([None, *words[:-1]], words):
+                moves[kind(a), kind(b)] += 1
+                out[kind(a)] += 1
+    kinds = len(model.move)
+    n, v = sum(seen.values()), len(seen)
+    rare = {w: c for w, c in seen.items() if w is not None and w.encode() not in model.number}
+    mass = Counter()
+    for w, c in seen.items():
+        if w not in rare:
+            mass[kind(w)] += c
+    found = {r.doc_id: r for r in brown.score(docs, counts, model).collect()}
+    assert len(model.number) == 40 and rare
+    for i, t, _ in rows:
+        total, before = 0.0, model.end
+        for w in [*(t or "").split(), None]:
+            own = kind(w)
+            move = (moves[before, own] + 0.1) / (out[before] + 0.1 * kinds)
+            inside = 1.0 if w is None else seen[w] / mass[own] if own != model.rare else (seen[w] + 0.5) / (sum(rare.values()) + 0.5 * (len(rare) + 1))
+            total += math.log10(brown.MIX * move * inside + (1 - brown.MIX) * (seen[w] + 0.5) / (n + 0.5 * (v + 1)))
+            before = own
+        assert found[i].score == pytest.approx(total, abs=1e-6)
+        assert found[i].perplexity == pytest.approx(10 ** (-total / found[i].n_tokens), rel=1e-6)
+
+
 def test_brown_assigns_words_beyond_the_top(spark, monkeypatch):
     """Words of three kinds take turns; the seed has a few of each, and every other word joins a class of its own kind."""
     monkeypatch.setattr(brown, "TOP", 12)
