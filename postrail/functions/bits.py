@@ -20,20 +20,32 @@ def bit_ceiling(x: Column) -> Column:
     return F.when(x < 2, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), wide).cast("long"))
 
 
+#: Fields that are laid out as bits at once.
+_BLOCK = 1 << 14
+
+
 def packed(values: np.ndarray, width: int) -> bytes:
     """Fields of `width` bits, the lowest bit first, in whole 64-bit words."""
     if not width or not len(values):
         return b""
-    bits = (np.asarray(values, np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    flat = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    places, values, parts = np.arange(width, dtype=np.uint64), np.asarray(values).astype(np.uint64), []
+    for at in range(0, len(values), _BLOCK):  # whole words in each block
+        bits = (values[at : at + _BLOCK, None] >> places).astype(np.uint8) & 1
+        parts.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
+    flat = b"".join(parts)
     return flat + b"\0" * (-len(flat) % 8)
 
 
 def unpacked(raw: bytes, width: int, n: int) -> np.ndarray:
     if not width or not n:
         return np.zeros(n, np.int64)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
+    whole, out = np.frombuffer(raw, np.uint8), np.zeros(n, np.uint64)
+    for at in range(0, n, _BLOCK):
+        m = min(_BLOCK, n - at)
+        bits = np.unpackbits(whole[at * width // 8 :], count=m * width, bitorder="little").reshape(m, width)
+        for place in range(width):
+            out[at : at + m] |= bits[:, place].astype(np.uint64) << np.uint64(place)
+    return out.astype(np.int64)
 
 
 @F.pandas_udf(BinaryType())

@@ -2,9 +2,16 @@
 
 For a piece that begins at position a, a line with slope s stays within the bounds low[i]..high[i] of all
 its positions iff, for all i < j, low[j] - high[i] <= s (j - i) <= high[j] - low[i]. The piece therefore
-carries two limits of the slope, each with the pair that attains it, and grows while they do not cross.
+carries two limits of the slope, each with the pair that attains it, and grows while they do not cross (the published
+online method for piecewise linear functions with bounded error).
 The pair of a new limit is a tangent from the new point to a convex chain of earlier points. Limits
 only tighten, so a chain's front is passed once, and a bound that does not tighten its limit never meets a later line. All comparisons are of products of whole numbers.
+
+Any slope between the limits will do. The one taken is the dyadic number with the fewest binary places there, so that its
+field is narrow and multiples of it are exact; its intercept is in the middle of what the postings leave. Where the limits have no such
+number between them (they are equal, say), the steeper one is rounded down by less than half a unit over the whole piece. A value
+then lies below its real line by less than 3/2, so the residuals of a piece are some 2 epsilon + 2 adjacent
+whole numbers, and the intercept puts them in -epsilon..epsilon + 1.
 """
 
 from __future__ import annotations
@@ -52,18 +59,23 @@ class _Chain:
         ys.append(y)
 
 
-def reach(docs: list[int], begin: int, epsilon: int) -> tuple[int, tuple[int, int, int, int] | None]:
-    """Where the piece from `begin` ends, and the two points of its steepest line (None for a single point)."""
+#: A slope as its rise and its run.
+Slope = tuple[int, int]
+
+
+def reach(docs: list[int], begin: int, epsilon: int) -> tuple[int, Slope, Slope]:
+    """Where the piece from `begin` ends, and the flattest and the steepest slope of its lines."""
     n, y = len(docs), docs[begin]
     low, high = max(0, y - epsilon), min(GREATEST, y + epsilon)
     if begin + 1 == n:
-        return n, None
+        return n, (0, 1), (0, 1)
     floors, ceilings = _Chain(-1, begin, low), _Chain(1, begin, high)
     x, y = begin + 1, docs[begin + 1]
     low2, high2 = max(0, y - epsilon), min(GREATEST, y + epsilon)
     steep, flat = (begin, low, x, high2), (begin, high, x, low2)
     floors.add(x, low2)
     ceilings.add(x, high2)
+    end = n
     for x in range(begin + 2, n):
         y = docs[x]
         low = y - epsilon if y > epsilon else 0
@@ -73,7 +85,8 @@ def reach(docs: list[int], begin: int, epsilon: int) -> tuple[int, tuple[int, in
         run, span = (by - ay) * (x - ax) + ay * (bx - ax), bx - ax  # the steep line at x, scaled by its pair's distance
         rise, step = (dy - cy) * (x - cx) + cy * (dx - cx), dx - cx  # and the flat line
         if run < low * span or rise > high * step:
-            return x, steep
+            end = x
+            break
         if run > high * span:
             i = floors.tangent(x, high)
             steep = floors.xs[i], floors.ys[i], x, high
@@ -82,30 +95,36 @@ def reach(docs: list[int], begin: int, epsilon: int) -> tuple[int, tuple[int, in
             i = ceilings.tangent(x, low)
             flat = ceilings.xs[i], ceilings.ys[i], x, low
             floors.add(x, low)
-    return n, steep
-
-
-def toward_zero(a: int, b: int) -> int:
-    return a // b if a >= 0 else -(-a // b)
-
-
-def fixed_point(begin: int, end: int, pair: tuple[int, int, int, int]) -> Line:
-    ax, ay, bx, by = pair
-    dx, dy = bx - ax, by - ay
-    covered = end - begin
-    exponent = 0 if dy % dx == 0 else covered.bit_length() + 1  # ceil(log2(covered + 1)) + 1
-    significand = toward_zero(dy << exponent, dx)
-    rise = dy * (begin - ax)
-    half = toward_zero(-dx if rise < 0 else dx, 2)
-    return Line(begin, covered, toward_zero(rise + half, dx) + ay, exponent, significand)
-
-
-def fit(docs: list[int], epsilon: int) -> list[Line]:
-    """The lines of an ascending list of postings below the greatest key."""
-    out, at = [], 0
-    while at < len(docs):
-        end, pair = reach(docs, at, epsilon)
-        out.append(fixed_point(at, end, pair) if pair else Line(at, 1, docs[at], 0, 0))
+    return end, (flat[3] - flat[1], flat[2] - flat[0]), (steep[3] - steep[1], steep[2] - steep[0])
+
+
+def simplest(flat: Slope, steep: Slope, covered: int) -> tuple[int, int]:
+    """(significand, exponent) of the dyadic slope with the fewest places between two slopes, in the middle if several have as many."""
+    (a, p), (b, q) = flat, steep
+    most_places = covered.bit_length() + 1
+    for places in range(most_places + 1):
+        least, most = max(0, -(-(a << places) // p)), (b << places) // q
+        if least <= most:
+            return (least + most) // 2, places
+    return most, most_places
+
+
+def fit(docs: np.ndarray, epsilon: int, most_bytes: float | None = None) -> list[Line] | None:
+    """The lines of ascending postings below the greatest key; None as soon as their fields alone take over `most_bytes`."""
+    plain, out, at = docs.tolist(), [], 0
+    tops = [0, 0, 0, 0]
+    while at < len(plain):
+        end, flat, steep = reach(plain, at, epsilon)
+        covered = end - at
+        significand, exponent = simplest(flat, steep, covered)
+        rest = docs[at:end] - (significand * np.arange(covered) >> exponent)
+        low, high = int(rest.min()), int(rest.max())
+        intercept = min(max(0, (low + high) // 2, high - epsilon - 1), low + epsilon) if covered > 1 else low
+        out.append(Line(at, covered, intercept, exponent, significand))
+        if most_bytes is not None:
+            tops = list(map(max, tops, (at, intercept, exponent, significand)))
+            if len(out) * sum(t.bit_length() for t in tops) > 8 * most_bytes:
+                return None
         at = end
     return out
 

@@ -1,8 +1,12 @@
 """Building the index: chunks of lists, the best error bound of each, lines and residuals, exact sizes.
 
-A list longer than `CHUNK` postings is cut by ranges of its ids into chunks that tasks fit
-separately; a line never crosses a chunk's edge, which costs at most one more line for each chunk.
-The error bound is still one for the whole list: the candidates' sizes are added up over its chunks.
+A list longer than `CHUNK` postings is cut by rank into chunks that tasks fit separately; a line never crosses a chunk's
+edge, which costs at most one more line for each chunk. The error bound is still one for the whole list.
+
+A list of one chunk is fitted in one pass: its candidates are tried from the likeliest on, and one is given up as soon as its
+fields take more than the best size so far, so the choice is that of trying all. A longer list's candidates are measured chunk by
+chunk and their sizes added up before one is chosen. All that is known of a list is an aggregate of its lines, so nothing is kept
+in memory between the two tables.
 """
 
 from __future__ import annotations
@@ -11,18 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import bit_width
 from ..sources.store import Index
 from ..sources.tables import validate
-from .lines import EPSILONS, fit, residuals
+from .lines import EPSILONS, Line, fit, residuals
 
 CHUNK = 1 << 18
 _METRICS = "list_id long, chunk long, epsilon int, n long, n_segments long, n_exceptions long, first_max long, covered_max long, intercept_max long, exponent_max int, significand_max long, first_doc long, last_doc long"
-_SEGMENTS = "list_id long, chunk long, epsilon int, seg int, start long, covered int, intercept long, slope_exponent int, slope_significand long, seg_min_doc long, seg_max_doc long, residual array<int>"
+_SEGMENTS = "list_id long, chunk long, epsilon int, seg int, start long, covered int, intercept long, slope_exponent int, slope_significand long, seg_min_doc long, seg_max_doc long, exceptions int, residual array<int>"
 
 
 def shift_of(epsilon: int) -> int:
@@ -31,15 +34,17 @@ def shift_of(epsilon: int) -> int:
 
 
 def chunks(postings: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(list_id, chunk, docs): ascending distinct postings, about `size` in a chunk."""
-    rows = validate(postings.select("list_id", "doc_id"))
-    spans = rows.groupBy("list_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    spans = spans.where(F.col("n") > size).withColumn("parts", F.ceil(F.col("n") / size))
-    # only long lists are cut: at most n / size of them, each a row here
-    cut = rows.join(spans.select("list_id", "low", "high", "parts"), "list_id", "left")
-    place = F.floor((F.col("doc_id") - F.col("low")) * F.col("parts") / (F.col("high") - F.col("low") + 1))
-    keyed = cut.select("list_id", F.coalesce(place, F.lit(0)).cast("long").alias("chunk"), "doc_id")
-    return keyed.groupBy("list_id", "chunk").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    """(list_id, chunk, docs): ascending distinct postings. chunk is null for a list of at most `size`; others have under twice as many in a chunk.
+
+    Long lists are counted by blocks of ids, each of at most `size` ids; a block goes where the postings before it say, so postings
+    that lie close together are cut like any others.
+    """
+    rows = validate(postings.select("list_id", "doc_id")).withColumn("block", F.shiftright("doc_id", size.bit_length() - 1))
+    long = rows.groupBy("list_id").agg(F.count("*").alias("n")).where(F.col("n") > size).select("list_id")
+    counts = rows.join(long, "list_id", "left_semi").groupBy("list_id", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("list_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    marks = counts.select("list_id", "block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size).alias("chunk"))
+    return rows.join(marks, ["list_id", "block"], "left").groupBy("list_id", "chunk").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -49,54 +54,86 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield columns[0][i].as_py(), columns[1][i].as_py(), columns[2][i].values.to_numpy(zero_copy_only=False), columns[3][i].as_py() if len(columns) > 3 else None
 
 
-def exceptions(e: np.ndarray, lines: list, epsilon: int) -> int:
-    """Residual differences beyond the inline limit; a line's first residual stands against 0."""
-    shift = shift_of(epsilon)
+def over(e: np.ndarray, lines: list[Line], epsilon: int) -> np.ndarray:
+    """For each line its residual differences beyond the inline limit; a line's first residual stands against 0."""
+    starts, shift = np.array([x.first for x in lines]), shift_of(epsilon)
     if not shift:
-        return 0
+        return np.zeros(len(lines), np.int64)
     d = np.diff(e, prepend=0)
-    starts = np.array([x.first for x in lines])
     d[starts] = e[starts]
-    return int((np.abs(d) > epsilon >> shift).sum())
+    return np.add.reduceat((np.abs(d) > epsilon >> shift).astype(np.int64), starts)
+
+
+def exceptions(e: np.ndarray, lines: list[Line], epsilon: int) -> int:
+    return int(over(e, lines, epsilon).sum())
 
 
 def _measure(epsilons: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         names = [x.split()[0] for x in _METRICS.split(", ")]
+        kinds = [pa.int32() if n in ("epsilon", "exponent_max") else pa.int64() for n in names]
         for list_id, chunk, docs, _ in _rows(batches):
-            plain = docs.tolist()
+            held = []
             for epsilon in epsilons:
-                lines = fit(plain, epsilon)
-                table = np.array(lines, np.int64)
-                top = table.max(0)
-                held.append((list_id, chunk, epsilon, len(docs), len(lines), exceptions(residuals(docs, lines), lines, epsilon), *map(int, top[:3]), int(top[3]), int(top[4]), plain[0], plain[-1]))
-            if len(held) > 10_000:
-                yield _batch(held, names)
-                held = []
-        if held:
-            yield _batch(held, names)
+                lines = fit(docs, epsilon)
+                top = np.array(lines, np.int64).max(0).tolist()
+                held.append((list_id, chunk, epsilon, len(docs), len(lines), exceptions(residuals(docs, lines), lines, epsilon), *top, docs[0], docs[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
     return run
 
 
-def _batch(held: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32() if n in ("epsilon", "exponent_max") else pa.int64() for n in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+def size_of(n: int, lines: list[Line], n_exceptions: int, epsilon: int) -> int:
+    """The encoded size in bytes of a list of one chunk, as `with_sizes` has it."""
+    words = lambda bits: -(-bits // 64)
+    tops = np.array(lines, np.int64).max(0).tolist()
+    wide, shift = epsilon.bit_length(), shift_of(epsilon)
+    fields = sum(words(len(lines) * tops[i].bit_length()) for i in (0, 2, 3, 4))
+    corrections = words(n * (wide - shift)) + (words(n_exceptions * (wide + 1)) if shift else 0)
+    return 8 * (fields + corrections) + (n + n_exceptions) // 8
+
 
+#: Bounds from the likeliest on; the order decides how soon others are given up, not which is chosen.
+_LIKELY = sorted(EPSILONS, key=lambda e: abs(e.bit_length() - 6))
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for list_id, chunk, docs, epsilon in _rows(batches):
-        lines = fit(docs.tolist(), epsilon)
-        table = np.array(lines, np.int64)
-        begins, ends = table[:, 0], table[:, 0] + table[:, 1]
-        n = len(lines)
-        e = pa.ListArray.from_arrays(pa.array(np.append(begins, len(docs)).astype(np.int32)), pa.array(residuals(docs, lines).astype(np.int32)))
-        whole = lambda v, kind: pa.array(np.full(n, v), kind)
-        yield pa.RecordBatch.from_arrays(
-            [whole(list_id, pa.int64()), whole(chunk, pa.int64()), whole(epsilon, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(begins), pa.array(table[:, 1], pa.int32()), pa.array(table[:, 2]), pa.array(table[:, 3], pa.int32()), pa.array(table[:, 4]), pa.array(docs[begins]), pa.array(docs[ends - 1]), e],
-            [x.split()[0] for x in _SEGMENTS.split(", ")],
-        )
+
+def best(docs: np.ndarray, epsilons: tuple[int, ...]) -> tuple[int, list[Line]]:
+    """The bound with the least size, ties to the smaller, and its lines."""
+    found: tuple | None = None
+    for epsilon in sorted(epsilons, key=_LIKELY.index):
+        room = None
+        if found:
+            fixed = -(-len(docs) * (epsilon.bit_length() - shift_of(epsilon)) // 64) * 8 + len(docs) // 8
+            room = found[0] - fixed
+            if room < 0:
+                continue
+        lines = fit(docs, epsilon, room)
+        if lines is not None:
+            size = size_of(len(docs), lines, exceptions(residuals(docs, lines), lines, epsilon), epsilon)
+            if not found or (size, epsilon) < found[:2]:
+                found = size, epsilon, lines
+    return found[1:]
+
+
+def _fit(epsilons: tuple[int, ...] = ()):
+    """Lines for the bound that comes with a row, or for the best of `epsilons`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for list_id, chunk, docs, epsilon in _rows(batches):
+            lines = fit(docs, epsilon) if epsilon else None
+            if lines is None:
+                epsilon, lines = best(docs, epsilons)
+            table, n = np.array(lines, np.int64), len(lines)
+            begins, ends = table[:, 0], table[:, 0] + table[:, 1]
+            rest = residuals(docs, lines)
+            e = pa.ListArray.from_arrays(pa.array(np.append(begins, len(docs)).astype(np.int32)), pa.array(rest.astype(np.int32)))
+            whole = lambda v, kind: pa.array([v] * n, kind)
+            yield pa.RecordBatch.from_arrays(
+                [whole(list_id, pa.int64()), whole(chunk, pa.int64()), whole(epsilon, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(begins), pa.array(table[:, 1], pa.int32()), pa.array(table[:, 2]), pa.array(table[:, 3], pa.int32()), pa.array(table[:, 4]), pa.array(docs[begins]), pa.array(docs[ends - 1]), pa.array(over(rest, lines, epsilon), pa.int32()), e],
+                [x.split()[0] for x in _SEGMENTS.split(", ")],
+            )
+
+    return run
 
 
 def with_sizes(metrics: DataFrame) -> DataFrame:
@@ -128,49 +165,53 @@ def per_list(metrics: DataFrame) -> DataFrame:
     return with_sizes(placed.groupBy("list_id", "epsilon").agg(*sums, *most, F.min("first_doc").alias("first_doc")))
 
 
+def lists_of(segments: DataFrame) -> DataFrame:
+    """A row for each list: its totals, bit widths and exact sizes, out of its lines."""
+    most = {"first_max": "first", "covered_max": "covered", "intercept_max": "intercept", "exponent_max": "slope_exponent", "significand_max": "slope_significand", "last_doc": "seg_max_doc"}
+    sums = [F.sum("covered").alias("n"), F.count("*").alias("n_segments"), F.sum("exceptions").alias("n_exceptions")]
+    return with_sizes(segments.groupBy("list_id", "epsilon").agg(*sums, *[F.max(c).cast("int" if n == "exponent_max" else "long").alias(n) for n, c in most.items()], F.min("seg_min_doc").alias("first_doc")))
+
+
 def choose(sized: DataFrame) -> DataFrame:
     """Of each list the candidate with the least size, ties to the smaller bound."""
-    best = F.min_by(F.struct(*[c for c in sized.columns if c != "list_id"]), F.struct("size_bytes", "epsilon")).alias("x")
-    return sized.groupBy("list_id").agg(best).select("list_id", "x.*")
+    least = F.min_by("epsilon", F.struct("size_bytes", "epsilon"))
+    return sized.groupBy("list_id").agg(least.alias("epsilon"))
 
 
 def build_index(postings: DataFrame, epsilon: int | str = "adaptive", chunk: int = CHUNK) -> Index:
-    """The compressed index of (list_id, doc_id). `epsilon` is one bound for all lists, or "adaptive"."""
-    adaptive = epsilon == "adaptive"
-    if not adaptive and epsilon not in EPSILONS:
+    """The compressed index of (list_id, doc_id). `epsilon` is one bound for all lists, or "adaptive".
+
+    Both tables are lazy, and `lists` is an aggregate of `segments`; `sources.settle` stores an index that is asked more than once.
+    """
+    if epsilon != "adaptive" and epsilon not in EPSILONS:
         raise ValueError(f"epsilon must be adaptive or one of {EPSILONS}")
+    epsilons = EPSILONS if epsilon == "adaptive" else (int(epsilon),)
     parts = chunks(postings, chunk)
-    # twelve small rows a chunk, asked for by sizes and by offsets; what is lost with an executor is measured anew
-    metrics = candidates(parts, EPSILONS if adaptive else (int(epsilon),)).persist(StorageLevel.MEMORY_AND_DISK)
-    lists = choose(per_list(metrics))
-    if adaptive:
-        fitted = parts.join(lists.select("list_id", "epsilon"), "list_id")
-    else:
-        fitted = parts.withColumn("epsilon", F.lit(int(epsilon)))
-    lines = fitted.select("list_id", "chunk", "docs", "epsilon").mapInArrow(_fit, _SEGMENTS)
-    return Index(lists, _placed(lines, metrics))
+    whole = parts.where("chunk IS NULL").mapInArrow(_fit(epsilons), _SEGMENTS)
+    many = parts.where("chunk IS NOT NULL")
+    metrics = candidates(many, epsilons)
+    lines = many.join(choose(per_list(metrics)), "list_id").select("list_id", "chunk", "docs", "epsilon").mapInArrow(_fit(), _SEGMENTS)
+    names = ["list_id", "epsilon", "seg_id", "first", "covered", "intercept", "slope_exponent", "slope_significand", "seg_min_doc", "seg_max_doc", "exceptions", "residual"]
+    segments = whole.withColumnsRenamed({"seg": "seg_id", "start": "first"}).select(names).union(_placed(lines, metrics).select(names))
+    return Index(lists_of(segments), segments)
 
 
 def _placed(lines: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Positions and numbers of lines within the whole list. Only lists of several chunks have anything before a chunk."""
+    """Positions and numbers of lines within the whole list."""
     before = Window.partitionBy("list_id", "epsilon").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = metrics.select("list_id", "epsilon", "chunk", F.sum("n").over(before).alias("positions"), F.sum("n_segments").over(before).alias("segments"))
-    offsets = counts.where("positions IS NOT NULL")
-    out = lines.join(offsets, ["list_id", "epsilon", "chunk"], "left")
     zero = F.lit(0)
-    return out.select(
-        "list_id", "epsilon", (F.col("seg") + F.coalesce("segments", zero)).cast("int").alias("seg_id"), (F.col("start") + F.coalesce("positions", zero)).alias("first"), "covered", "intercept", "slope_exponent", "slope_significand", "seg_min_doc", "seg_max_doc", "residual"
-    )
+    counts = metrics.select("list_id", "epsilon", "chunk", F.coalesce(F.sum("n").over(before), zero).alias("positions"), F.coalesce(F.sum("n_segments").over(before), zero).alias("segments"))
+    out = lines.join(counts, ["list_id", "epsilon", "chunk"])
+    return out.withColumns({"seg_id": (F.col("seg") + F.col("segments")).cast("int"), "first": F.col("start") + F.col("positions")})
 
 
 def differences(segments: DataFrame) -> DataFrame:
-    """(list_id, seg_id, pos, residual, diff, is_exception, inline, sign): the codec's view of each residual."""
-    rows = segments.select("list_id", "epsilon", "seg_id", "first", F.posexplode("residual").alias("j", "residual"), F.col("residual").alias("all"))
-    previous = F.when(F.col("j") > 0, F.try_element_at("all", F.col("j"))).otherwise(0)
-    diff = F.when(F.col("epsilon") < 3, F.col("residual")).otherwise(F.col("residual") - previous)
+    """(list_id, epsilon, seg_id, pos, residual, diff, limit, is_exception, inline, sign): the codec's view of each residual; row-local."""
+    e = F.col("residual")
+    before = F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))))
+    pairs = F.zip_with(e, before, lambda x, y: F.struct(x.alias("residual"), F.when(F.col("epsilon") < 3, x).otherwise(x - y).alias("diff")))
+    rows = segments.select("list_id", "epsilon", "seg_id", "first", F.posexplode(pairs).alias("j", "x"))
     limit = F.when(F.col("epsilon") < 7, F.shiftright("epsilon", 1)).otherwise(F.shiftright("epsilon", 2))
-    out = rows.select("list_id", "epsilon", "seg_id", (F.col("first") + F.col("j")).alias("pos"), "residual", diff.cast("int").alias("diff"), limit.alias("limit"))
+    out = rows.select("list_id", "epsilon", "seg_id", (F.col("first") + F.col("j")).alias("pos"), "x.residual", F.col("x.diff").cast("int").alias("diff"), limit.alias("limit"))
     beyond = (F.col("epsilon") >= 3) & (F.abs("diff") > F.col("limit"))
     return out.withColumn("is_exception", beyond).withColumns({"inline": F.when(beyond, 0).otherwise(F.abs("diff")), "sign": F.when(beyond | (F.col("diff") < 0), 1).otherwise(0)})
-
-

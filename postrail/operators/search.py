@@ -53,6 +53,28 @@ def next_geq(postings: DataFrame, probes: DataFrame) -> DataFrame:
     return located(postings, probes).select("list_id", "key", "next_geq")
 
 
+def next_geq_on(segments: DataFrame, probes: DataFrame) -> DataFrame:
+    """(list_id, key, next_geq) on an index, by its lines' bounds: a probe's answer lies in the first line that ends at or beyond it.
+
+    Lines are found by their last postings alone, and the residuals of no other line are read. In an appended index the lines
+    of a list's batches may overlap, so each batch gives its answer and the least counts.
+    """
+    from .decode import _value
+
+    if "batch" in segments.columns:
+        both = F.struct("list_id", "batch").alias("list_id")
+        asked = probes.select("list_id", "key").join(segments.select("list_id", "batch").distinct(), "list_id", "left").select(both, "key")
+        found = next_geq_on(segments.select(both, *[c for c in segments.columns if c not in ("list_id", "batch")]), asked)
+        return found.groupBy(F.col("list_id.list_id").alias("list_id"), "key").agg(F.min("next_geq").alias("next_geq"))
+    ends = next_geq(segments.select("list_id", F.col("seg_max_doc").alias("doc_id")), probes)
+    lines = segments.select("list_id", F.col("seg_max_doc").alias("next_geq"), F.col("seg_min_doc"), "intercept", "slope_exponent", "slope_significand", "residual")
+    met = ends.join(lines, ["list_id", "next_geq"], "left")
+    docs = F.transform("residual", lambda e, j: _value(j, e))
+    inside = F.array_min(F.filter(docs, lambda d: d >= F.col("key")))
+    found = F.when(F.col("seg_min_doc") >= F.col("key"), F.col("seg_min_doc")).otherwise(inside)
+    return met.groupBy("list_id", "key").agg(F.min(found).alias("next_geq"))
+
+
 def upper_bound(postings: DataFrame, probes: DataFrame) -> DataFrame:
     """The least posting greater than each key."""
     moved = located(postings, probes.select("list_id", (F.col("key") + 1).alias("key")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import Index, load_lists
 from .decode import decode
+from .lines import GREATEST
 
 
 def and_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -68,16 +69,42 @@ def except_query(postings: DataFrame, keep: int, drop: list[int]) -> DataFrame:
 
 
 def on_index(index: Index, queries: DataFrame, kind: str, strict: bool = False) -> DataFrame:
-    """A workload on the compressed index: only its lists are read, and for AND only lines that can meet all lists of some query."""
+    """A workload on the compressed index: only its lists are read, and for AND only lines that can meet all lists of some query.
+
+    A list may have several rows in `lists`, as an appended index has one for each batch.
+    """
     own = load_lists(index, queries, strict)
     segments = own.segments
     if kind == "AND":
-        # an AND lies between the greatest first and the least last posting of its lists
-        bounds = queries.select("query_id", "list_id").distinct().join(own.lists.select("list_id", "first_doc", "last_doc"), "list_id", "left")
-        bounds = bounds.groupBy("query_id").agg(F.max("first_doc").alias("low"), F.min("last_doc").alias("high"))
-        wide = queries.select("query_id", "list_id").distinct().join(bounds, "query_id").groupBy("list_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        segments = segments.join(wide, "list_id").where("seg_max_doc >= low AND seg_min_doc <= high").drop("low", "high")
-    return batch(decode(segments), queries, kind)
+        segments = meeting(segments, own.lists, queries.select("query_id", "list_id").distinct())
+    rows = decode(segments)
+    if "batch" in segments.columns:  # a posting may have come in several batches
+        rows = rows.select("list_id", "doc_id").distinct()
+    return batch(rows, queries, kind)
+
+
+#: Blocks that the ids of an index are cut into, to see where all lists of a query have lines.
+ZONES = 4096
+
+
+def meeting(segments: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """The lines that can hold a document that is in all lists of some query.
+
+    Such a document lies between the greatest first and the least last posting of the query's lists, and in a block of ids that a line of each of them
+    touches. Only a line's own bounds are looked at, so residuals of the others are never read.
+    """
+    spans = lists.groupBy("list_id").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+    bounds = asked.join(spans, "list_id", "left").groupBy("query_id").agg(F.max("first_doc").alias("low"), F.min("last_doc").alias("high"), F.count("*").alias("k"), F.count("first_doc").alias("known"))
+    bounds = bounds.where("k = known AND low <= high").select("query_id", "low", "high", "k")
+    zone = lambda c: F.shiftright(c, (GREATEST // ZONES).bit_length())
+    whole = segments.select("list_id", "seg_min_doc", "seg_max_doc")
+    touched = whole.select("list_id", F.explode(F.sequence(zone("seg_min_doc"), zone("seg_max_doc"))).alias("zone")).distinct()
+    met = asked.join(bounds, "query_id").join(touched, "list_id").where((F.col("zone") >= zone("low")) & (F.col("zone") <= zone("high")))
+    shared = met.groupBy("query_id", "zone").agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max("low").alias("low"), F.max("high").alias("high")).where("n = k")
+    wanted = shared.join(asked, "query_id").groupBy("list_id", "zone").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    cut = whole.withColumn("zone", F.explode(F.sequence(zone("seg_min_doc"), zone("seg_max_doc"))))
+    kept = cut.join(wanted, ["list_id", "zone"]).where("seg_max_doc >= low AND seg_min_doc <= high").select("list_id", "seg_min_doc", "seg_max_doc").distinct()
+    return segments.join(kept, ["list_id", "seg_min_doc", "seg_max_doc"], "left_semi")
 
 
 def total(results: DataFrame) -> DataFrame:

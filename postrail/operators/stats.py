@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import bit_width
+from ..sources.files import drawn
 from ..sources.store import Index
 from .model import differences
 from .search import neighbours
@@ -77,7 +78,7 @@ def residual_dump(segments: DataFrame, sampled: DataFrame) -> DataFrame:
 def random_segments(segments: DataFrame, sampled: DataFrame, seed: int = 0) -> DataFrame:
     """(draw, list_id, seg_id): one line of each sampled list, at random but repeatably."""
     rows = segments.select("list_id", "seg_id").join(sampled, "list_id")
-    return rows.groupBy("draw", "list_id").agg(F.min_by("seg_id", F.struct(F.xxhash64("seg_id", "draw", F.lit(seed)), "seg_id")).alias("seg_id"))
+    return rows.groupBy("draw", "list_id").agg(F.min_by("seg_id", F.struct(drawn(seed, "draw", "seg_id"), "seg_id")).alias("seg_id"))
 
 
 def residual_quantiles(segments: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Binary collections, query files and key files.
 
 A collection is a stream of little-endian unsigned 32-bit numbers: 1, the universe, and then for each
-list its length and its ascending postings. A query file has one query in a line, ids set apart by spaces.
+list its length and its ascending postings; files of any length are read. A query file has one query in a line, ids set apart by spaces.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,50 +18,108 @@ from pyspark.sql import functions as F
 PART = 1 << 16
 
 
+#: Bytes of a collection file up to which one task reads it whole; a larger one is read in parts of many lists.
+WHOLE = 1 << 30
+#: Words that are held while a large file's list lengths are followed.
+WINDOW = 1 << 22
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; a path without a scheme is this machine's."""
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
+def _batch(name: str, ordinal: int, begin: int, own: np.ndarray) -> pa.RecordBatch:
+    n = len(own)
+    return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, ordinal)), pa.array(np.arange(begin, begin + n, dtype=np.int32)), pa.array(own.astype(np.int64))], ["file", "list_id", "pos", "doc_id"])
+
+
+def _lists(data: np.ndarray, name: str, ordinal: int, drop_last: bool) -> Iterator[pa.RecordBatch]:
+    """The lists that lie one after another in `data`, the first of them the file's `ordinal`th."""
+    at = 0
+    while at < len(data):
+        n = int(data[at])
+        own = data[at + 1 : at + 1 + n]
+        if len(own) < n:
+            raise ValueError(f"{name} ends within list {ordinal}")
+        own = own[:-1] if drop_last else own
+        for begin in range(0, len(own), PART):
+            yield _batch(name, ordinal, begin, own[begin : begin + PART])
+        at, ordinal = at + 1 + n, ordinal + 1
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of large files, of some `WINDOW` words unless one list is longer: file, the word where it begins, its words, its first list's ordinal."""
+    for batch in batches:
+        for name in batch.column("path").to_pylist():
+            store, path = _store(name)
+            with store.open_input_file(path) as file:
+                words, held, window = file.size() // 4, np.zeros(0, "<u4"), 0
+                if words < 2 or np.frombuffer(file.read_at(4, 0), "<u4")[0] != 1:
+                    raise ValueError(f"{name} is no collection")
+                at, ordinal, out, begin, first = 2, 0, [], 2, 0
+                while at < words:
+                    if not window <= at < window + len(held):
+                        held, window = np.frombuffer(file.read_at(4 * WINDOW, 4 * at), "<u4"), at
+                    at, ordinal = at + 1 + int(held[at - window]), ordinal + 1
+                    if at > words:
+                        raise ValueError(f"{name} ends within list {ordinal - 1}")
+                    if at - begin >= WINDOW or at == words:
+                        out.append((name, begin, at - begin, first))
+                        begin, first = at, ordinal
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["path", "begin", "words", "ordinal"])
+
+
 def read_docs(spark: SparkSession, path: str, compat_drop_last: bool = False) -> DataFrame:
     """(file, list_id, pos, doc_id) of the collections at `path`; list_id is a list's ordinal in its file.
 
-    Files are read whole, one to a task, so a large collection is best kept in many. With
+    A file of up to `WHOLE` bytes is read by one task through Spark's own reader. The list lengths of a larger one are followed by
+    one task that holds `WINDOW` words; its parts are then read by many, through the store that its address names. With
     `compat_drop_last` the last posting of each list is left out, as some old readers do.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
                 data = np.frombuffer(raw.as_buffer(), "<u4")
                 if len(data) < 2 or data[0] != 1:
                     raise ValueError(f"{name} is no collection")
-                at, ordinal = 2, 0
-                while at < len(data):
-                    n = int(data[at])
-                    own = data[at + 1 : at + 1 + n]
-                    if len(own) < n:
-                        raise ValueError(f"{name} ends within list {ordinal}")
-                    own = own[:-1] if compat_drop_last else own
-                    for begin in range(0, len(own), PART):
-                        part = own[begin : begin + PART].astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.full(len(part), ordinal)), pa.array(np.arange(begin, begin + len(part), dtype=np.int32)), pa.array(part)], ["file", "list_id", "pos", "doc_id"])
-                    at, ordinal = at + 1 + n, ordinal + 1
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInArrow(run, "file string, list_id long, pos int, doc_id long")
+                yield from _lists(data[2:], name, 0, compat_drop_last)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, where = _store(r["path"])
+                with store.open_input_file(where) as file:
+                    yield from _lists(np.frombuffer(file.read_at(4 * r["words"], 4 * r["begin"]), "<u4"), r["path"], r["ordinal"], compat_drop_last)
+
+    schema = "file string, list_id long, pos int, doc_id long"
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= WHOLE).select("path", "content").mapInArrow(whole, schema)
+    large = files.where(F.col("length") > WHOLE).select("path").mapInArrow(_spans, "path string, begin long, words long, ordinal long")
+    return small.union(large.repartition("path", "begin").mapInArrow(parts, schema))
 
 
 def write_docs(rows: DataFrame, path: str, universe: int, parts: int = 1) -> None:
     """Writes (list_id, doc_id) as `parts` collection files under the folder `path`, lists in the order of their ids.
 
-    Each task writes its own range of lists; one posting list is one task's, as the format asks.
+    `path` is an address of a store that all executors reach; a path without a scheme is taken for one only where all is one machine. Each task
+    writes its own range of lists under a name of its own and then gives the file its name, so a task that is run again does no harm.
     """
-    import os
+    if ":" not in path.split("/")[0] and not rows.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} would be on each executor's own disk; give an address with a scheme")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.makedirs(path, exist_ok=True)
-        target = f"{path}/{TaskContext.get().partitionId():05d}.docs"
+        store, folder = _store(path)
+        store.create_dir(folder, recursive=True)
+        target = f"{folder}/{TaskContext.get().partitionId():05d}.docs"
+        draft = f"{folder}/_{TaskContext.get().partitionId():05d}.{TaskContext.get().taskAttemptId()}"
         held: list[np.ndarray] = []
         current, count = None, 0
-        with open(f"{target}.tmp{TaskContext.get().taskAttemptId()}", "wb") as out:
+        with store.open_output_stream(draft) as out:
             out.write(np.array([1, universe], "<u4").tobytes())
 
             def close() -> None:
@@ -76,12 +135,18 @@ def write_docs(rows: DataFrame, path: str, universe: int, parts: int = 1) -> Non
                         current, held, count = ids[part[0]], [], count + 1
                     held.append(docs[part])
             close()
-            name = out.name
-        os.replace(name, target)
+        store.move(draft, target)
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["lists"])
 
     ordered = rows.select("list_id", "doc_id").repartitionByRange(parts, "list_id").sortWithinPartitions("list_id", "doc_id")
-    ordered.mapInArrow(run, "lists long").count()
+    ordered.mapInArrow(run, "lists long").write.format("noop").mode("overwrite").save()
+
+
+def write_keys(keys: list[int], path: str) -> None:
+    """A key file: a 64-bit count, then the 64-bit keys."""
+    store, where = _store(path)
+    with store.open_output_stream(where) as out:
+        out.write(np.array([len(keys), *keys], "<i8").tobytes())
 
 
 def lines_of_queries(lines: DataFrame, line: str = "value", query_id: str = "query_id") -> DataFrame:
@@ -111,11 +176,19 @@ def keys_from(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key long").orderBy("key")
 
 
+def drawn(seed: int, *columns: str):
+    """A number by which rows are drawn: the same for the same ids in any engine. Two odd factors, and a modulus."""
+    value = F.lit(seed).cast("long")
+    for c in columns:
+        value = ((value + F.col(c).cast("long") % 1_000_003 + 1) * 48_271) % 2_147_483_647
+    return (value * 69_621) % 2_147_483_647
+
+
 def sample_lists(lists: DataFrame, n: int = 8, seed: int = 0, replacement: bool = False) -> DataFrame:
     """(draw, list_id) of n lists at random but repeatably, each list at most once, or with replacement."""
     ids = lists.select("list_id").distinct()
     if not replacement:
-        chosen = ids.orderBy(F.xxhash64("list_id", F.lit(seed)), "list_id").limit(n)
-        return chosen.select((F.row_number().over(Window.orderBy(F.xxhash64("list_id", F.lit(seed)), "list_id")) - 1).alias("draw"), "list_id")
+        chosen = ids.orderBy(drawn(seed, "list_id"), "list_id").limit(n)
+        return chosen.select((F.row_number().over(Window.orderBy(drawn(seed, "list_id"), "list_id")) - 1).alias("draw"), "list_id")
     draws = ids.select("list_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    return draws.groupBy("draw").agg(F.min_by("list_id", F.struct(F.xxhash64("list_id", "draw", F.lit(seed)), "list_id")).alias("list_id"))
+    return draws.groupBy("draw").agg(F.min_by("list_id", F.struct(drawn(seed, "draw", "list_id"), "list_id")).alias("list_id"))

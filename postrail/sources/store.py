@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,35 @@ class Index(NamedTuple):
 def save_index(index: Index, path: str, parts: int | None = None) -> None:
     """Writes both tables; segments are ranged and sorted by list and least posting, so that row-group statistics prune scans."""
     index.lists.write.mode("overwrite").parquet(f"{path}/lists")
+    _ranged(index.segments, parts).write.mode("overwrite").parquet(f"{path}/segments")
+
+
+def _ranged(segments: DataFrame, parts: int | None) -> DataFrame:
     keys = ["list_id", "seg_min_doc"]
-    ranged = index.segments.repartitionByRange(parts, *keys) if parts else index.segments.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/segments")
+    return (segments.repartitionByRange(parts, *keys) if parts else segments.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir; under one of our own only where the session names none and all is one machine."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="postrail-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def settle(index: Index, path: str | None = None) -> Index:
+    """The index stored (in a scratch folder if no path is given) and loaded again; lines are fitted once, and scans can be pruned."""
+    spark = index.segments.sparkSession
+    path = path or scratch(spark)
+    segments = _ranged(index.segments, None)
+    segments.write.mode("overwrite").parquet(f"{path}/segments")
+    from ..operators.model import lists_of
+
+    lists_of(spark.read.parquet(f"{path}/segments")).write.mode("overwrite").parquet(f"{path}/lists")
+    return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Reserved; no posting may have it. Fixed value: the greatest unsigned 32-bit number.
@@ -22,6 +22,20 @@ def postings_of_terms(table: DataFrame, text: str = "text", doc_id: str = "doc_i
     return table.where(F.col(doc_id).isNotNull()).select(F.explode(terms).alias("term"), F.col(doc_id).cast("long").alias("doc_id")).distinct()
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
+    """`rows` with their place in the order from 1. They are sorted and stored over the cluster; only the sizes of the parts are added up."""
+    from .store import scratch
+
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    sizes = stored.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start") + 1
+    return stored.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_at", "_start")
+
+
 def validate(rows: DataFrame) -> DataFrame:
     """The same postings; reading one that is negative, or not below the sentinel, is an error."""
     bad = (F.col("doc_id") < 0) | (F.col("doc_id") >= SENTINEL)

@@ -1,5 +1,5 @@
 """Postings that arrive over time: each micro-batch becomes an immutable part of the index."""
 
-from .append import append, load_appended
+from .append import append, load_appended, store_batch
 
-__all__ = ["append", "load_appended"]
+__all__ = ["append", "load_appended", "store_batch"]

@@ -11,24 +11,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.model import build_index
+from ..operators.model import build_index, lists_of
 from ..sources.store import Index
 
 
+def store_batch(batch: DataFrame, path: str, number: int, epsilon: int | str = "adaptive") -> None:
+    """Builds one batch of postings and stores it as part `number`, in place of what was there. Lines are fitted once."""
+    segments = f"{path}/segments/batch={number}"
+    build_index(batch, epsilon).segments.write.mode("overwrite").parquet(segments)
+    lists_of(batch.sparkSession.read.parquet(segments)).write.mode("overwrite").parquet(f"{path}/lists/batch={number}")
+
+
 def append(stream: DataFrame, path: str, progress: str, epsilon: int | str = "adaptive", **trigger) -> StreamingQuery:
     """Starts the query; `progress` is its checkpoint folder, and `trigger` goes to DataStreamWriter.trigger."""
 
     def store(batch: DataFrame, number: int) -> None:
-        index = build_index(batch, epsilon)
-        index.lists.write.mode("overwrite").parquet(f"{path}/lists/batch={number}")
-        index.segments.write.mode("overwrite").parquet(f"{path}/segments/batch={number}")
+        store_batch(batch, path, number, epsilon)
 
     writer = stream.select("list_id", "doc_id").writeStream.foreachBatch(store).option("checkpointLocation", progress)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def load_appended(spark: SparkSession, path: str) -> Index:
-    """The index over all batches so far; positions run on from batch to batch, and `batch` tells parts with different bounds apart."""
+    """The index over all batches so far; positions run on from batch to batch, and `batch` tells parts with different bounds apart.
+
+    `lists` has a row for each list and batch.
+    """
     lists, segments = (spark.read.parquet(f"{path}/{t}") for t in ("lists", "segments"))
     before = Window.partitionBy("list_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)

@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postrail.operators import decode, search, setops, spatial, stats
-from postrail.operators.model import build_index, differences
-from postrail.sources import keys_from, load_index, load_lists, read_docs, read_queries, sample_lists, save_index, write_docs
+from postrail.operators import decode, packing, search, setops, spatial, stats
+from postrail.operators.model import build_index, chunks, differences
+from postrail.sources import files, keys_from, load_index, load_lists, read_docs, read_queries, sample_lists, save_index, settle, write_docs
+from postrail.streaming import load_appended, store_batch
 
 from .test_lines import LISTS
 
@@ -64,6 +66,68 @@ def test_differences_rebuild_the_postings(table, rows):
     assert {r.list_id: r.n_exceptions for r in index.lists.collect() if r.n_exceptions} == counted
 
 
+@pytest.mark.parametrize("epsilon", [1, 3, 15, 4095, "adaptive"])
+@pytest.mark.parametrize("part", [1 << 18, 128])
+def test_packed_storage(spark, tmp_path, monkeypatch, table, rows, epsilon, part):
+    monkeypatch.setattr(packing, "PART", part)
+    index = settle(build_index(table, epsilon))
+    packing.pack_index(index.segments).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    back = packing.decode_packed(stored).collect()
+    assert sorted((r.list_id, r.doc_id) for r in back) == sorted(rows)
+    assert sorted((r.list_id, r.pos) for r in back) == [(i, p) for i, docs in enumerate(LISTS.values()) for p in range(len(docs))]
+    if part == 1 << 18:
+        sizes = {r.list_id: r.size_bytes_with_covered - r.sign_bytes + -(-r.n // 8) + -(-r.n_exceptions // 8) for r in index.lists.collect()}
+        assert {r.list_id: r.bytes for r in packing.written_bytes(stored).collect()} == sizes
+
+
+def test_chunks_go_by_rank(spark):
+    """A dense run and one far posting: chunks are cut by counts, however close the postings lie."""
+    dense = spark.range(200_000).selectExpr("1L AS list_id", "id AS doc_id").union(spark.sql("SELECT 1L, 4000000000L")).union(spark.range(900).selectExpr("2L", "id * 7"))
+    found = chunks(dense, 1000).select("list_id", "chunk", F.size("docs").alias("n")).collect()
+    assert max(r.n for r in found if r.list_id == 1) < 2000 and sum(r.n for r in found) == 200_901
+    assert [(r.chunk, r.n) for r in found if r.list_id == 2] == [(None, 900)]
+
+
+def test_nothing_stays_in_memory(spark, table):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    build_index(table).lists.count()
+    build_index(table, 7, 100).segments.count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_appended_index(spark, tmp_path):
+    """Three batches, among them overlapping ones and one without some list."""
+    lists = {0: list(range(3, 900, 3)), 1: [5, 6, 9, 300], 2: [6, 12, 300, 4_000_000_000]}
+    rows = [(i, d) for i, docs in lists.items() for d in docs]
+    parts = [[r for r in rows if r[1] < 100], [r for r in rows if r[1] >= 100 and r[1] % 2], [r for r in rows if r[1] >= 100 and r[1] % 2 == 0 or r[1] == 6]]
+    for number, own in enumerate(parts):
+        store_batch(spark.createDataFrame(own, "list_id long, doc_id long"), str(tmp_path), number)
+    index = load_appended(spark, str(tmp_path))
+    asked = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (2, 7)], "query_id long, list_id long")
+    sets = {i: set(d) for i, d in lists.items()}
+    got = lambda kind: sorted((r.query_id, r.doc_id) for r in setops.on_index(index, asked, kind).collect())
+    assert got("AND") == sorted([(0, d) for d in sets[0] & sets[1]] + [(1, d) for d in sets[1] & sets[2]])
+    assert got("OR") == sorted([(0, d) for d in sets[0] | sets[1]] + [(1, d) for d in sets[1] | sets[2]] + [(2, d) for d in sets[0]])
+    probes = [(i, k) for i in (0, 1, 2, 9) for k in (-1, 0, 5, 6, 7, 100, 101, 299, 300, 301, 2**31, 2**32)]
+    found = {(r.list_id, r.key): r.next_geq for r in search.next_geq_on(index.segments, spark.createDataFrame(probes, "list_id long, key long")).collect()}
+    assert found == {(i, k): min((d for d in lists.get(i, []) if d >= k), default=None) for i, k in probes}
+
+
+def test_lines_that_cannot_match_are_not_read(spark, tmp_path):
+    """Lists that meet in a few blocks of ids only: other lines are left out, and the answers are whole."""
+    far = 1 << 20
+    rows = [(1, z * far * 3 + d) for z in range(40) for d in range(0, 300, 3)] + [(2, z * far * 5 + d) for z in range(40) for d in range(0, 300, 2)]
+    index = settle(build_index(spark.createDataFrame(rows, "list_id long, doc_id long"), 15), str(tmp_path / "i"))
+    asked = spark.createDataFrame([(0, 1), (0, 2)], "query_id long, list_id long")
+    lines = setops.meeting(index.segments, index.lists, asked)
+    assert 0 < lines.count() < 0.6 * index.segments.count()
+    both = {d for i, d in rows if i == 1} & {d for i, d in rows if i == 2}
+    assert {r.doc_id for r in setops.on_index(index, asked, "AND").collect()} == both
+    plan = search.next_geq(index.segments.select("list_id", F.col("seg_max_doc").alias("doc_id")), spark.createDataFrame([(1, 5)], "list_id long, key long"))
+    assert "residual" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bad_postings_are_refused(spark):
     for bad in (2**32 - 1, -1):
         with pytest.raises(Exception, match="out of range"):
@@ -94,6 +158,24 @@ def test_collection_files(spark, tmp_path, rows):
         read_docs(spark, str(tmp_path / "bad.docs")).count()
 
 
+def test_large_collection_files(spark, tmp_path, monkeypatch, rows):
+    """Files beyond the bound are read in parts of a few lists; the postings are the same."""
+    monkeypatch.setattr(files, "WHOLE", 100)
+    monkeypatch.setattr(files, "WINDOW", 700)
+    write_docs(spark.createDataFrame(rows, "list_id long, doc_id long"), "file://" + str(tmp_path / "c"), universe=123, parts=2)
+    back = read_docs(spark, str(tmp_path / "c"))
+    assert sorted((r.doc_id) for r in back.collect()) == sorted(d for _, d in rows)
+    one = read_docs(spark, str(tmp_path / "c" / "00000.docs"))
+    n = one.agg(F.max("list_id")).first()[0] + 1
+    assert pairs(one) == sorted(r for r in rows if r[0] < n)
+    assert back.rdd.getNumPartitions() > 1
+    files._store("relative/path")
+    assert [len(b) for b in files._spans(iter([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "c" / "00000.docs")]})]))][0] > 1
+    (tmp_path / "cut.docs").write_bytes((tmp_path / "c" / "00000.docs").read_bytes()[:-4])
+    with pytest.raises(Exception, match="ends within list"):
+        read_docs(spark, str(tmp_path / "cut.docs")).count()
+
+
 def test_query_and_key_files(spark, tmp_path):
     (tmp_path / "q").write_text("1 2 3\n 4   4\n\n7 x 8\n9\n")
     got = sorted((r.query_id, r.list_id) for r in read_queries(spark, str(tmp_path / "q")).collect())

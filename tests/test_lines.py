@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from postrail.functions.bits import packed, unpacked
 from postrail.operators.lines import EPSILONS, GREATEST, fit, reach, residuals
-from postrail.operators.model import exceptions
+from postrail.operators.model import best, exceptions, size_of
 from postrail.operators.stats import code_lengths, codes_of, huffman_decode, patched_bits
 
 RNG = random.Random(11)
@@ -33,11 +33,16 @@ def feasible(docs, begin, end, epsilon):
     high = [min(GREATEST, y + epsilon) for y in docs[begin:end]]
     least = max((Fraction(low[j] - high[i], j - i) for i in range(len(low)) for j in range(i + 1, len(low))), default=0)
     most = min((Fraction(high[j] - low[i], j - i) for i in range(len(low)) for j in range(i + 1, len(low))), default=0)
-    return least <= most, most
+    return least <= most, least, most
+
+
+def fitted(docs, epsilon):
+    return fit(np.array(docs, np.int64), epsilon)
 
 
 def check(docs, epsilon):
-    lines = fit(docs, epsilon)
+    lines = fitted(docs, epsilon)
+    assert all(x.intercept >= 0 and x.significand >= 0 and x.exponent >= 0 for x in lines)
     assert [x.first for x in lines] == np.cumsum([0, *[x.covered for x in lines]])[:-1].tolist()
     assert sum(x.covered for x in lines) == len(docs)
     e = residuals(np.array(docs, np.int64), lines)
@@ -53,32 +58,46 @@ def test_bounds_and_coverage(name, epsilon):
 
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.integers(0, 3000), min_size=1, max_size=40), st.sampled_from(EPSILONS[:7]))
-def test_pieces_are_as_long_as_can_be_and_lines_are_steepest(docs, epsilon):
+def test_pieces_are_as_long_as_can_be_and_slopes_as_short(docs, epsilon):
     docs = sorted(docs)
     at = 0
     for line in check(docs, epsilon):
-        end, pair = reach(docs, at, epsilon)
+        end, flat, steep = reach(docs, at, epsilon)
         assert (line.first, line.covered) == (at, end - at)
-        possible, most = feasible(docs, at, end, epsilon)
+        possible, least, most = feasible(docs, at, end, epsilon)
         assert possible and (end == len(docs) or not feasible(docs, at, end + 1, epsilon)[0])
-        if pair:
-            assert Fraction(pair[3] - pair[1], pair[2] - pair[0]) == most
+        if line.covered > 1:
+            assert Fraction(*flat) == least and Fraction(*steep) == most
+            places = line.covered.bit_length() + 1
+            short = [k for k in range(places + 1) if any(least <= Fraction(m, 1 << k) <= most for m in {int(most * (1 << k))})]
+            assert line.exponent == (short[0] if short else places)
+            if short:
+                assert max(0, least) <= Fraction(line.significand, 1 << line.exponent) <= most
         at = end
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.sets(st.integers(0, 60_000), min_size=1, max_size=60), st.integers(0, 2**32 - 70_000))
+def test_the_best_bound_is_that_of_trying_all(docs, base):
+    docs = np.array(sorted(docs), np.int64) + base
+    sizes = {e: size_of(len(docs), lines := fit(docs, e), exceptions(residuals(docs, lines), lines, e), e) for e in EPSILONS}
+    epsilon, lines = best(docs, EPSILONS)
+    assert epsilon == min(sizes, key=lambda e: (sizes[e], e)) and lines == fit(docs, epsilon)
+
+
 def test_hand_worked_lines():
-    (line,) = fit(LISTS["arithmetic"], 1)
-    # the steepest line of a run of threes at bound 1 goes from 5 - 1 to its last posting + 1: slope (3 * 299 + 2) / 299
-    dx, dy = 299, 3 * 299 + 2
-    assert (line.exponent, line.significand, line.intercept) == ((300).bit_length() + 1, (dy << (300).bit_length() + 1) // dx, 4)
-    assert fit([7], 3) == [(0, 1, 7, 0, 0)]
-    *_, last = fit(LISTS["trailing_outlier"], 1)
+    assert fitted(LISTS["arithmetic"], 1) == [(0, 300, 5, 0, 3)]
+    assert fitted([7], 3) == [(0, 1, 7, 0, 0)]
+    *_, last = fitted(LISTS["trailing_outlier"], 1)
     assert last == (300, 1, 4_000_000_000, 0, 0)
-    assert fit([0, 10, 20, 30], 1) == [(0, 4, 0, 4, (32 << 4) // 3)] or fit([0, 10, 20, 30], 1)[0].covered == 4
+    # at bound 1 slopes from 28/3 to 32/3 will do for these; the one whole number there is 10
+    assert fitted([0, 10, 20, 30], 1) == [(0, 4, 0, 0, 10)]
+    # from 17/2 to 10.5 there are 9 and 10, of which the middle, rounded down, is 9; residuals are 0, 0 and 1
+    assert fitted([0, 9, 19], 1) == [(0, 3, 0, 0, 9)]
 
 
 def test_exceptions_by_hand():
-    lines = fit([0, 10, 20, 1000], 3)
+    lines = fitted([0, 10, 20, 1000], 3)
     assert sum(x.covered for x in lines) == 4
     e = residuals(np.array([0, 10, 20, 1000]), lines)
     want, before = 0, 0

@@ -47,12 +47,12 @@ def test_sql_only_for_queries():
 
 
 def test_every_term_has_a_list(spark):
-    got = QUERIES["roundtrip_every_term"](spark, DATA)
+    got = QUERIES["roundtrip_terms"](spark, DATA)
     assert got.select("list_id").distinct().count() == QUERIES["postings_all_terms"](spark, DATA).select("term").distinct().count() > 200
     assert got.groupBy("list_id").count().where("count = 1").count() > 0
 
 
-@pytest.mark.parametrize("name", ["next_geq_every_list", "access_every_pos", "packed_fields_every_list"])
+@pytest.mark.parametrize("name", ["next_geq", "access_pos", "packed_fields", "search_window"])
 def test_every_list_is_asked(spark, tables, name):
     lists = tables.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0]
-    assert QUERIES[name](spark, DATA).select("list_id").distinct().count() == lists
+    assert QUERIES[name](spark, DATA).where("list_id >= 0").select("list_id").distinct().count() == lists
