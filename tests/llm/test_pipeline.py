@@ -8,7 +8,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postrail.llm import sampling, simhash, toxicity
+from postrail.llm import sampling, shingles, simhash, toxicity
 from postrail.llm.common import remainder
 from postrail.llm.queries import tokenizer_path
 
@@ -44,17 +44,23 @@ def split(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+def shingle_set(t):
+    """Distinct 5-word shingles; all words of a text that has fewer."""
+    words = split(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = toxicity.fit(sampling.sample(docs, spark.read.parquet(f"{folder}/labels.parquet"), "toxic", remainder(5) > 0))
     rows = [(i, t) for i, t in rows if model.scores([(t or "").encode()])[0] < 0.5]
-    codes = [simhash.fingerprint((t or "").encode()) % 2**64 for _, t in rows]
+    sets = [shingle_set(t) for _, t in rows]
     left, kept = set(range(len(rows))), []
     while left:
         group, new = set(), {left.pop()}
         while new:
             group |= new
-            new = {j for j in left for k in new if (codes[j] ^ codes[k]).bit_count() <= 4}
+            new = {j for j in left for k in new if sets[j] == sets[k] or len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k])}
             left -= new
         kept.append(min(((rows[j][0] is None, rows[j][0] or 0), rows[j][1] or "", j) for j in group))
     rows = [rows[j] for *_, j in kept]
@@ -98,7 +104,7 @@ def test_pipeline(spark, tmp_path):
     order = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(got, key=order) == sorted(want, key=order)
     ids = {r[0] for r in got}
-    assert not ids & set(range(0, 160, 5)) and not ids & set(range(200, 210))
+    assert not ids & set(range(0, 160, 5)) and not ids & set(range(200, 210)) and not ids & set(range(300, 310))
     assert len(ids & {i for i in range(160) if i % 5}) == 128
 
 
@@ -135,3 +141,33 @@ def test_near_copies_down_to_similarity(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == {i for i, _ in rows} - gone
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Families that share most of a text, so that keys are crowded, with members below and above the threshold: components are those of all pairs."""
+    monkeypatch.setattr(shingles, "TILE", 16)
+    monkeypatch.setattr(shingles, "NEAR", 1)
+    rng = random.Random(34)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for size in (80, 40):
+        common = fresh(200)
+        for i in range(size):
+            texts.append(" ".join(common + fresh(rng.choice([5, 20, 30, 45, 60]))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    body = {r.body: r.doc_id for r in docs.select("doc_id", F.xxhash64("text").alias("body")).collect()}
+    found = [(body[r.x], body[r.y]) for r in shingles.links(docs).collect()]
+    sets = [shingle_set(t) for t in texts]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert found and all(similar(a, b) for a, b in found)
+
+    def parts(edges):
+        root = list(range(len(texts)))
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    want = parts([(a, b) for a in range(len(texts)) for b in range(a) if similar(a, b)])
+    assert parts(found) == want and 2 < len(set(want)) < len(texts)
+    assert shingles.links(docs.where("false")).count() == 0
