@@ -38,6 +38,8 @@ FAN = 16
 BUCKET = 2048
 #: Parts that the members of components are dealt to, so that a very large one is met in several tasks.
 SALTS = 32
+#: A class with more than one row in so many is met by broadcast, the others by their fingerprints.
+HOT = 1000
 #: Leaves that one block of searches may meet at most, unless a single search meets more.
 BLOCK = 4 << 20
 
@@ -235,11 +237,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, text: st
     (key, body) of the row that stands for the component.
     """
     rows = checkpoint(fingerprints(docs, width, text, key))
-    classes = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "body")).alias("keeper")))
+    classes = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "body")).alias("keeper")))
     linked = classes.join(components(links(classes, distance)), F.col("fp") == F.col("node")).select("fp", "least", "keeper", "root")
     linked = checkpoint(linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))))
     heads = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keeper").alias("head"))
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     far = linked.join(heads, ["root", "salt"]).select("fp", "component_id", "head")
-    known = classes.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("head", "keeper").alias("keeper"))
-    return rows.join(known, "fp").select(F.col("key").alias(key), "body", "fp", "component_id", F.struct("keeper.key", "keeper.body").alias("keeper"))
+    known = checkpoint(classes.join(far, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("head", "keeper").alias("keeper")))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(known.where(F.col("n") * HOT > total))  # fewer than HOT classes can have so large a share
+    few = rows.join(F.broadcast(known.where(F.col("n") * HOT > total).select("fp")), "fp", "left_anti").join(known, "fp")
+    return rows.join(hot, "fp").unionByName(few).select(F.col("key").alias(key), "body", "fp", "component_id", F.struct("keeper.key", "keeper.body").alias("keeper"))
