@@ -8,7 +8,9 @@ labels are joined with the unigram counts, and the tokens of the urls with their
 all subdomains if the url's path starts with the rule's, and the longest rule wins (ties to the first).
 
 A null url, or one without `://`, has an empty host and path, no rule and the prior's verdict. Equal
-scores allow. Repeated urls are judged alike.
+scores allow. Ties: of segmentations that cost the same the one with the longest last word wins, and of fitting rules of one length the first.
+Repeated urls and pages are judged each on its own, and alike. An empty table has no verdicts. Other columns are dropped, whatever their names. A
+very long url takes memory in proportion to it; the pieces of a very long label are listed a stretch at a time.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Letters of a segmenter's word at most.
-LONGEST = 24
+#: Letters of a segmenter's word at most, and places of a label whose pieces are listed at once.
+LONGEST, STRETCH = 24, 1024
+#: What a seed word counts for its verdict.
+SEED_COUNT = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Common words for the segmenter, and seed words for each verdict.
@@ -77,7 +81,8 @@ def split(label: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def _words(text: Column | str) -> Column:
-    return F.regexp_extract_all(text, F.lit("([a-z]+)"))
+    """Runs of digits, of a-z, and of characters beyond ASCII."""
+    return F.regexp_extract_all(text, F.lit("([0-9]+|[a-z]+|[^\\x00-\\x7F]+)"))
 
 
 def unigrams(urls: DataFrame) -> DataFrame:
@@ -96,9 +101,10 @@ def segmented(urls: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column("label").to_pylist()
-            pieces = [sorted({x[a:b] for a in range(len(x)) for b in range(a + 1, min(len(x), a + LONGEST) + 1)}) for x in labels]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(pieces, pa.list_(pa.string()))], ["label", "pieces"])
+            for one, x in zip(batch.column("own").to_pylist(), batch.column("label").to_pylist()):
+                for at in range(0, len(x), STRETCH):
+                    pieces = sorted({x[a:b] for a in range(at, min(len(x), at + STRETCH)) for b in range(a + 1, min(len(x), a + LONGEST) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(pieces), pa.int64()), pa.array(pieces, pa.string())], ["own", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +113,11 @@ def segmented(urls: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(parts, pa.list_(pa.string()))], ["label", "parts"])
 
     hosts = checkpoint(urls.select("host").distinct().select("host", F.posexplode(_words("host")).alias("place", "label")))
-    labels = hosts.select("label").distinct()
-    cuts = labels.mapInArrow(cut, "label string, pieces array<string>").select("label", F.explode("pieces").alias("w"))
-    known = cuts.join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("w", "n")).alias("known"))
-    parts = labels.join(known, "label", "left").mapInArrow(run, "label string, parts array<string>")
+    # pieces go by a hash of their label; two labels of one hash would only know each other's words besides
+    labels = checkpoint(hosts.select("label").distinct().withColumn("own", F.xxhash64("label")))
+    cuts = labels.mapInArrow(cut, "own long, w string").distinct()
+    known = cuts.join(counts, "w").groupBy("own").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    parts = labels.join(known, "own", "left").mapInArrow(run, "label string, parts array<string>")
     placed = hosts.join(parts, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "parts"))).alias("x"))
     return placed.select("host", F.flatten("x.parts").alias("parts"))
 
@@ -126,7 +133,7 @@ def tokenized(urls: DataFrame) -> DataFrame:
 def weights(rows: DataFrame) -> tuple[DataFrame, float]:
     """(w, weight) of every token of a decided url or seed, and the prior."""
     spark = rows.sparkSession
-    seeds = spark.createDataFrame([(f"{side}:{w}", 5 * (v == "block"), 5 * (v == "allow")) for v in SEEDS for w in SEEDS[v] for side in "hp"], "w string, block long, allow long")
+    seeds = spark.createDataFrame([(f"{side}:{w}", SEED_COUNT * (v == "block"), SEED_COUNT * (v == "allow")) for v in SEEDS for w in SEEDS[v] for side in "hp"], "w string, block long, allow long")
     decided = rows.where("ruled IS NOT NULL")
     each = [F.count(F.when(F.col("ruled") == v, 1)).alias(v) for v in SEEDS]
     counts = decided.select("ruled", F.explode("tokens").alias("w")).groupBy("w").agg(*each).select("w", "block", "allow").union(seeds)

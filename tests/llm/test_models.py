@@ -376,6 +376,141 @@ def test_urls_use_every_token(spark):
     assert table.where(F.col("w") == f"p:{word(50_999)}").count() == 1
 
 
+def test_urls_by_plain_counting(spark):
+    """Unigrams, the cheapest segmentation by all cuts, and naive Bayes, again in plain Python over whole pages."""
+    rows = [r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url").collect()] if Path("/root/testdata/sf0.001").exists() else []
+    rows += ["http://newsblog.net/science", "http://freepoker.org/fr/win", "http://sciencenews.com/a1b2", "http://pokerfree.xyz/", "http://münchen7.de/é", None, "nothing", "http://" + "ab" * 700 + ".com/x"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    words = lambda t: re.findall(r"[0-9]+|[a-z]+|[^\x00-\x7F]+", t)
+    parsed = []
+    for u in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)(.*)", u or "")
+        host, tail = (low(m[1]), m[2]) if m else ("", "")
+        path = re.match(r"(?s)[^?#]*", tail)[0]
+        fits = [(len(r), v) for v, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        parsed.append((host, path.lower(), tail.lower(), max(fits)[1] if fits else None))
+    counts = Counter(dict.fromkeys([*urls.COMMON, *urls.SEEDS["block"], *urls.SEEDS["allow"]], 20))
+    for *_, tail, _ in parsed:
+        counts.update(words(tail))
+    total = counts.total()
+
+    def cost(w):
+        return -math.log(counts[w] / total) if w in counts and len(w) <= urls.LONGEST else math.log(total) + 2 + 1.5 * len(w)
+
+    def cheapest(label):
+        best = [(0.0, [])]
+        for end in range(1, len(label) + 1):
+            best.append(min(((best[a][0] + cost(label[a:end]), best[a][1] + [label[a:end]]) for a in range(max(0, end - urls.LONGEST), end)), key=lambda x: x[0]))
+        return best[-1][1]
+
+    tokens = [[f"h:{w}" for label in words(h) for w in cheapest(label)] + [f"p:{w}" for w in words(p)] for h, p, *_ in parsed]
+    seen = {v: Counter({f"{side}:{w}": urls.SEED_COUNT for w in urls.SEEDS[v] for side in "hp"}) for v in urls.SEEDS}
+    for own, (*_, ruled) in zip(tokens, parsed):
+        if ruled:
+            seen[ruled].update(own)
+    distinct = len(seen["block"] | seen["allow"])
+    prior = [sum(r == v for *_, r in parsed) + 1 for v in ("block", "allow")]
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    for i, (own, (*_, ruled)) in enumerate(zip(tokens, parsed)):
+        assert got[i].words.split() == own
+        known = [w for w in own if w in seen["block"] or w in seen["allow"]]
+        odds = math.log(prior[0] / prior[1]) + sum(math.log((seen["block"][w] + 1) / (seen["block"].total() + distinct + 1)) - math.log((seen["allow"][w] + 1) / (seen["allow"].total() + distinct + 1)) for w in known)
+        assert got[i].verdict == (ruled or ("block" if odds > 1e-12 else "allow"))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_scores_again_from_the_fitted_models(spark):
+    """What the maps over batches give for the tables' texts, recomputed text by text from the models alone."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+    model = toxicity.fit(sampling.sample(docs, labels, "toxic", remainder(5) > 0))
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t in texts.items():
+        words = set(re.findall(rb"[0-9a-z\x80-\xff']+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())))
+        stems = Counter(w.decode("utf-8", "ignore")[:5] for w in words if len(w) > 5)
+        logit = model.intercept + sum(model.weights.get(w, 0) for w in words) + sum(model.weights.get(f"{n}^{s}".encode(), 0) for s, c in stems.items() for n in (1, 2, 3, 5) if c >= n)
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-max(-50, min(50, logit)))), abs=1e-9)
+
+    forest = quality.fit(sampling.sample(docs, labels, "quality", remainder(3) != 1))
+    found = {r.doc_id: r.score for r in quality.score(docs, forest).collect()}
+    for i, t in texts.items():
+        row, total = plain_statistics(t or ""), forest.base
+        for f, cut, v in zip(forest.feature, forest.threshold, forest.value):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + (2 if row[f[node]] > cut[node] else 1)
+            total += v[node - (2**quality.DEPTH - 1)]
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+    filters = language.fit(docs, remainder(5) > 0)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, filters).collect()}
+    for i, t in texts.items():
+        line = " " + " ".join(re.findall(r"[^\W\d_]+", (t or "").lower())) + " "
+        grams = [line[j : j + 3] for j in range(len(line) - 2)] if line.strip() else []
+        if not grams:
+            assert found[i] == ("und", 0.0)
+            continue
+        hits = []
+        for k in range(len(filters.languages)):
+            n = 0
+            for g in grams:
+                mixed = sum(ord(c) << 21 * p for p, c in enumerate(g))
+                mixed ^= mixed >> 23
+                n += all(int(filters.planes[k // 64][(mixed * int(f) % 2**64) >> 64 - language.SIZE]) >> k % 64 & 1 for f in language._FACTORS)
+            hits.append(max(0.0, (n - len(grams) * filters.false[k]) / (1 - filters.false[k])))
+        assert found[i][0] == filters.languages[hits.index(max(hits))]
+        assert found[i][1] == pytest.approx(max(hits) / sum(hits) if sum(hits) else 0)
+
+
+def plain_statistics(t):
+    raw = t.encode()
+    words = raw.split()
+    if not words:
+        return [0.0] * len(quality.STATISTICS)
+    size, n, lengths = len(raw), len(words), [len(w) for w in words]
+    mean, counts = sum(lengths) / n, Counter(words)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    among = lambda chars: sum(c in chars for c in raw) / size
+    repeated = sum(len(x) for x in lines) - sum(len(x) for x in set(lines))
+    return [
+        size, n, mean, math.sqrt(sum((x - mean) ** 2 for x in lengths) / n), max(lengths), len(counts) / n, max(counts.values()) / n, sum(x <= 2 for x in lengths) / n,
+        among(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), among(b"0123456789"), among(b".,;:!?'\"-"), among(b"#$%&*@^~+=\\_<>`"), among(b"|"), sum(c >= 128 for c in raw) / size,
+        len(lines), size / len(lines), len(set(lines)) / len(lines), repeated / size, sum(x.rstrip()[-1:] in (b".", b"!", b"?", b'"') for x in lines) / len(lines),
+        sum(not re.search(rb"[0-9A-Za-z\x80-\xff]", w) for w in words) / n, sum(65 <= w[0] <= 90 for w in words) / n, n / (sum(c in b".!?" for c in raw) + 1), among(b"()[]{}/"),
+    ]
+
+
+def test_one_text_a_language(spark):
+    rows = [(1, "lorem ipsum dolor sit amet", "aa"), (2, "xyzzy qwrtz wvxyq zzkqj", "bb"), (3, "çoux eaull illçon", "cc"), (1, "lorem ipsum dolor again", "aa")]
+    filters = language.fit(docs_of(spark, rows), F.lit(True))
+    assert filters.languages == ["aa", "bb", "cc"]
+    assert [filters.judge(t)[0] for _, t, _ in rows] == ["aa", "bb", "cc", "aa"]
+
+
+def test_odd_tables_of_every_learnt_operator(spark):
+    """Empty tables, very long texts, ties, null ids and clashing names."""
+    long = "word another third " * 30_000
+    rows = [(1, long, "aa"), (1, long, "aa"), (None, "x y", "bb"), (3, None, None)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(1, 1, 1), (None, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    none, some = docs.where("false"), F.lit(True)
+    for op, label in ((toxicity, "toxic"), (quality, "quality")):
+        model = op.fit(sampling.sample(docs, labels, label, some))
+        assert op.score(none, model).count() == 0
+        found = op.score(docs, model).collect()
+        assert len(found) == 4 and len({round(r.score, 12) for r in found if r.doc_id == 1}) == 1
+        empty = op.fit(sampling.sample(none, labels.where("false"), label, some))
+        assert {r.score < 0.01 for r in op.score(docs, empty).collect()} == {True}
+    filters = language.fit(docs, some)
+    assert language.predict(none, filters).count() == 0 and language.predict(docs, filters).count() == 4
+    counts, model = brown.fit(docs, F.col("doc_id").isNotNull())
+    assert brown.score(none, counts, model).count() == 0
+    scored = brown.score(docs, counts, model, ("doc_id", "score")).collect()
+    assert len(scored) == 4 and sorted(r.n_tokens for r in scored) == [1, 3, 90_001, 90_001]
+
+
 def test_rare_language_has_a_filter(spark):
     from postrail.llm import language
 
