@@ -107,6 +107,13 @@ def meeting(segments: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFram
     return segments.join(kept, ["list_id", "seg_min_doc", "seg_max_doc"], "left_semi")
 
 
+def read_share(index: Index, queries: DataFrame) -> DataFrame:
+    """One row: the postings in the lists of a workload, and those in the lines that an AND of it reads."""
+    own, asked = load_lists(index, queries), queries.select("query_id", "list_id").distinct()
+    read = meeting(own.segments, own.lists, asked).agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("read"))
+    return own.lists.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings")).crossJoin(F.broadcast(read))  # one row each
+
+
 def total(results: DataFrame) -> DataFrame:
     """One row, `total`: the sizes of all results together."""
     return results.agg(F.count("*").alias("total"))

@@ -187,6 +187,29 @@ def huffman_table(index: Index) -> DataFrame:
     return tables.mapInArrow(run, "list_id long, epsilon int, symbol int, count long, code string")
 
 
+def huffman_encoded(index: Index, table: DataFrame) -> DataFrame:
+    """(list_id, seg_id, first, n, code): each line's residual differences one code after another, as text of 0 and 1."""
+    rows = differences(index.segments).select("list_id", "seg_id", "pos", F.col("diff").alias("symbol")).join(table.select("list_id", "symbol", "code"), ["list_id", "symbol"])
+    lines = rows.groupBy("list_id", "seg_id").agg(F.sort_array(F.collect_list(F.struct("pos", "code"))).alias("x"))
+    return lines.select("list_id", "seg_id", F.element_at("x.pos", 1).alias("first"), F.size("x").alias("n"), F.array_join("x.code", "").alias("code"))
+
+
+def huffman_decoded(encoded: DataFrame, table: DataFrame) -> DataFrame:
+    """(list_id, seg_id, pos, diff) of coded lines; a list's table is met by its id and has at most as many rows as it has symbols."""
+    tables = table.groupBy("list_id").agg(F.collect_list(F.struct("symbol", "code")).alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = huffman_decode(r["code"], {c["symbol"]: c["code"] for c in r["codes"]})
+                if len(found) != r["n"]:
+                    raise ValueError(f"line {r['seg_id']} of list {r['list_id']} has {len(found)} codes, not {r['n']}")
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([r["list_id"]] * n, pa.int64()), pa.array([r["seg_id"]] * n, pa.int32()), pa.array(r["first"] + np.arange(n)), pa.array(found, pa.int32())], ["list_id", "seg_id", "pos", "diff"])
+
+    return encoded.join(tables, "list_id").mapInArrow(run, "list_id long, seg_id int, pos long, diff int")
+
+
 def huffman_size(index: Index) -> DataFrame:
     """(list_id, table_bits, data_bits): a table entry takes the bound's width and its code."""
     length = F.length("code")

@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import approximate, bit_ceiling, bit_width, doubles, find, find_value, insert, key_of_timestamp, morton, pack, remove, sign_of, slope, text_of_big, truncated_div, unmorton, unpack, words
+from ..functions import approximate, bit_ceiling, bit_width, doubles, find, find_value, insert, key_of_timestamp, morton, next_in_box, pack, remove, sign_of, slope, text_of_big, truncated_div, unmorton, unpack, words
 from ..operators import decode as decoding
 from ..operators import packing, search, setops, spatial, stats
 from ..operators.lines import EPSILONS
 from ..operators.model import build_index, differences
-from ..sources import Index, keys_from, lines_of_queries, load_lists, numbered, postings, postings_of_terms, read_docs, read_queries, sample_lists, scratch, settle, write_docs, write_keys
+from ..sources import Index, keys_from, lines_of_queries, load_codes, load_lists, numbered, postings, postings_of_terms, read_docs, read_queries, sample_lists, save_codes, scratch, settle, write_docs, write_keys
 from ..streaming import load_appended, store_batch
 from . import model_sql
 
@@ -380,6 +380,15 @@ modelled(
 
 register(None, "huffman_table")(lambda s, d: stats.huffman_table(supp63(s, d)))
 register(None, "huffman_size")(lambda s, d: stats.huffman_size(parts(s, d)))
+@modelled("SELECT list_id, seg_id, first + j AS pos, diffs[j + 1] AS diff FROM (SELECT *, unnest(range(0, covered)) AS j FROM segments)", "huffman_roundtrip", lists="supp")
+def huffman_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Residual differences coded, stored with their tables, read and decoded again."""
+    index, path = settle(supp63(s, d)), scratch(s)
+    codes = stats.huffman_table(index)
+    save_codes(codes, stats.huffman_encoded(index, codes), path)
+    return _longs(stats.huffman_decoded(*reversed(load_codes(s, path))))
+
+
 # A block's cost at each width, and of these the least: the definition over again, on zigzagged residuals.
 _BLOCKS = "SELECT list_id, unnest(list_transform(range(0, covered, 128), lambda b: list_transform(residual[b + 1 : b + 128], lambda v: CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END))) AS block FROM segments"
 _WIDTHS = f"SELECT list_id, block, list_max(list_transform(block, lambda v: {model_sql.width('v')})) AS top, list_transform(block, lambda v: {model_sql.width('v')}) AS ws FROM ({_BLOCKS})"
@@ -389,7 +398,7 @@ modelled(f"SELECT list_id, CAST(sum(16 + list_min(list_transform(range(0, top +
 @modelled("SELECT list_id, diff AS symbol, count(*) AS count, 1.0::DOUBLE AS kraft FROM (SELECT list_id, unnest(diffs) AS diff FROM segments) GROUP BY list_id, diff", "huffman_covers", lists="supp")
 def huffman_covers(s: SparkSession, d: str) -> DataFrame:
     """The symbols that are coded and how often; a complete code sums to 1 over its lengths."""
-    codes = stats.huffman_table(supp63(s, d))
+    codes = stats.huffman_table(settle(supp63(s, d)))
     whole = codes.groupBy("list_id").agg(F.round(F.sum(F.pow(F.lit(2.0), -F.length("code"))), 9).alias("kraft"))
     return _longs(codes.join(whole, "list_id").select("list_id", "symbol", "count", "kraft"))
 
@@ -466,6 +475,10 @@ def points(s: SparkSession, d: str) -> DataFrame:
 register(f"SELECT id, {_CODE} AS zcode, x, y FROM ({_POINTS})", "morton_codes")(
     lambda s, d: points(s, d).select("id", morton(F.col("x"), F.col("y"), bits=16).alias("zcode")).select("id", "zcode", *[c.alias(n) for c, n in zip(unmorton(F.col("zcode"), 2, 16), "xy")])
 )
+_BOX = f"SELECT {_CODE} AS next_code FROM (SELECT x, y FROM range(10, 31) a(x), range(905, 916) b(y))"
+register(f"SELECT id, c.zcode, next_code FROM (SELECT id, {_CODE} AS zcode FROM ({_POINTS})) c ASOF LEFT JOIN ({_BOX}) b ON c.zcode <= b.next_code", "next_in_box")(
+    lambda s, d: points(s, d).select("id", morton(F.col("x"), F.col("y"), bits=16).alias("zcode")).select("id", "zcode", next_in_box(F.col("zcode"), [10, 905], [30, 915], 16).alias("next_code"))
+)
 register(f"SELECT * FROM ({_POINTS}) WHERE x BETWEEN 10 AND 30 AND y BETWEEN 905 AND 915", "box_range")(lambda s, d: spatial.box(points(s, d), {"x": 10, "y": 905}, {"x": 30, "y": 915}))
 register(f"SELECT id, x, y, (x - 25) * (x - 25) + (y - 910) * (y - 910) AS distance2 FROM ({_POINTS}) ORDER BY distance2, id LIMIT 10", "nearest_points")(lambda s, d: spatial.nearest(points(s, d), {"x": 25, "y": 910}, 10, "id"))
 register(f"SELECT a.x, a.y FROM (SELECT x, 900 + 2 * y AS y FROM range(1, 51) t(x), range(60) u(y)) a SEMI JOIN ({_POINTS}) p ON a.x = p.x AND a.y = p.y", "has_points")(

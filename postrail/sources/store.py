@@ -68,3 +68,14 @@ def load_lists(index: Index, wanted: DataFrame, strict: bool = False) -> Index:
     if len(few) <= PUSHED:
         return Index(index.lists.where(F.col("list_id").isin(few)), index.segments.where(F.col("list_id").isin(few)))
     return Index(index.lists.join(wanted, "list_id", "left_semi"), index.segments.join(wanted, "list_id", "left_semi"))
+
+
+def save_codes(table: DataFrame, encoded: DataFrame, path: str) -> None:
+    """A code table (list_id, symbol, count, code) and what was coded with it; tables as text, as they are few and often looked at."""
+    table.select("list_id", "epsilon", "symbol", "count", "code").write.mode("overwrite").csv(f"{path}/table", sep="\t")
+    encoded.write.mode("overwrite").parquet(f"{path}/coded")
+
+
+def load_codes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    table = spark.read.schema("list_id long, epsilon int, symbol int, count long, code string").csv(f"{path}/table", sep="\t")
+    return table, spark.read.parquet(f"{path}/coded")

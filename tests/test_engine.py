@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from postrail.functions.zorder import next_codes
 from postrail.operators import decode, packing, search, setops, spatial, stats
 from postrail.operators.model import build_index, chunks, differences
 from postrail.sources import files, keys_from, load_index, load_lists, read_docs, read_queries, sample_lists, save_index, settle, write_docs
@@ -124,6 +125,8 @@ def test_lines_that_cannot_match_are_not_read(spark, tmp_path):
     assert 0 < lines.count() < 0.6 * index.segments.count()
     both = {d for i, d in rows if i == 1} & {d for i, d in rows if i == 2}
     assert {r.doc_id for r in setops.on_index(index, asked, "AND").collect()} == both
+    share = setops.read_share(index, asked).first()
+    assert share.postings == len(rows) and 0 < share.read < 0.6 * len(rows)
     plan = search.next_geq(index.segments.select("list_id", F.col("seg_max_doc").alias("doc_id")), spark.createDataFrame([(1, 5)], "list_id long, key long"))
     assert "residual" not in plan._jdf.queryExecution().executedPlan().toString()
 
@@ -276,6 +279,19 @@ def test_points(spark):
     assert all(r.zcode == sum((r.x >> b & 1) << 2 * b | (r.y >> b & 1) << 2 * b + 1 for b in range(8)) for r in coded)
 
 
+@pytest.mark.parametrize("n, bits", [(2, 4), (3, 3)])
+def test_next_code_in_a_box(n, bits):
+    rng = random.Random(n)
+    codes = np.arange(1 << n * bits)
+    of = lambda c: [sum((c >> b * n + d & 1) << b for b in range(bits)) for d in range(n)]
+    for _ in range(40):
+        low = [rng.randrange(1 << bits) for _ in range(n)]
+        high = [rng.randrange(x, 1 << bits) for x in low]
+        inside = [c for c in codes.tolist() if all(a <= x <= b for a, x, b in zip(low, of(c), high))]
+        want = [next((c for c in inside if c >= z), -1) for z in codes.tolist()]
+        assert next_codes(codes, low, high, bits).tolist() == want
+
+
 def test_entry_without_the_corpus_part(spark):
     import subprocess
     import sys
