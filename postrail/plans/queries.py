@@ -379,7 +379,20 @@ modelled(
 )(lambda s, d: _longs(stats.index_statistics(parts(s, d))).withColumns({c: F.round(c, 9) for c in ("avg_covered", "avg_segments", "ratio", "bytes_per_integer")} | {"size_gib": F.round("size_gib", 12)}))
 
 register(None, "huffman_table")(lambda s, d: stats.huffman_table(supp63(s, d)))
-register(None, "huffman_size")(lambda s, d: stats.huffman_size(parts(s, d)))
+# The least cost of a prefix code is the sum of all weights that are made by joining the two least again and again.
+_MERGED = """, weights AS (SELECT list_id, list(c ORDER BY c) AS c, CAST(0 AS BIGINT) AS bits FROM (SELECT list_id, diff, count(*) AS c FROM (SELECT list_id, unnest(diffs) AS diff FROM segments) GROUP BY list_id, diff) GROUP BY list_id),
+merged AS (SELECT list_id, len(c) AS symbols, c, CASE WHEN len(c) = 1 THEN c[1] ELSE bits END AS bits FROM weights
+  UNION ALL SELECT list_id, symbols, list_sort(list_append(c[3:], c[1] + c[2])), bits + c[1] + c[2] FROM merged WHERE len(c) > 1)
+SELECT list_id, symbols, bits AS data_bits FROM merged WHERE len(c) = 1"""
+
+
+@modelled(_MERGED, "huffman_size")
+def huffman_size(s: SparkSession, d: str) -> DataFrame:
+    index = settle(parts(s, d))
+    symbols = stats.huffman_table(index).groupBy("list_id").agg(F.count("*").alias("symbols"))
+    return stats.huffman_size(index).join(symbols, "list_id").select("list_id", "symbols", "data_bits")
+
+
 @modelled("SELECT list_id, seg_id, first + j AS pos, diffs[j + 1] AS diff FROM (SELECT *, unnest(range(0, covered)) AS j FROM segments)", "huffman_roundtrip", lists="supp")
 def huffman_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Residual differences coded, stored with their tables, read and decoded again."""
