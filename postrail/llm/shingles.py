@@ -151,8 +151,8 @@ def _decided(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    texts = rows.join(asked.distinct(), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
-    return texts.mapInArrow(_sets, "body long, found array<long>")
+    texts = rows.groupBy("body").agg(F.first("text").alias("text"))  # copies are one before they are sent
+    return texts.join(asked.distinct(), "body", "left_semi").mapInArrow(_sets, "body long, found array<long>")
 
 
 def _rest(rows: DataFrame, dealt: DataFrame, found: DataFrame, similarity: float) -> DataFrame | None:
