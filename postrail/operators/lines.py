@@ -25,6 +25,10 @@ EPSILONS = tuple(2**k - 1 for k in range(1, 13))
 GREATEST = 2**32 - 1
 
 
+#: Postings of a piece up to which plain numbers are quicker than arrays.
+SHORT = 64
+
+
 class Line(NamedTuple):
     """A fixed-point line: at position i it has the value ((significand (i - first)) >> exponent) + intercept."""
 
@@ -109,16 +113,23 @@ def simplest(flat: Slope, steep: Slope, covered: int) -> tuple[int, int]:
     return most, most_places
 
 
-def fit(docs: np.ndarray, epsilon: int, most_bytes: float | None = None) -> list[Line] | None:
-    """The lines of ascending postings below the greatest key; None as soon as their fields alone take over `most_bytes`."""
-    plain, out, at = docs.tolist(), [], 0
+def fit(docs: np.ndarray, epsilon: int, most_bytes: float | None = None, plain: list[int] | None = None) -> list[Line] | None:
+    """The lines of ascending postings below the greatest key; None as soon as their fields alone take over `most_bytes`.
+
+    `plain` are the postings as a list, where that is at hand.
+    """
+    plain, out, at = docs.tolist() if plain is None else plain, [], 0
     tops = [0, 0, 0, 0]
     while at < len(plain):
         end, flat, steep = reach(plain, at, epsilon)
         covered = end - at
         significand, exponent = simplest(flat, steep, covered)
-        rest = docs[at:end] - (significand * np.arange(covered) >> exponent)
-        low, high = int(rest.min()), int(rest.max())
+        if covered < SHORT:
+            rest = [y - (significand * j >> exponent) for j, y in enumerate(plain[at:end])]
+            low, high = min(rest), max(rest)
+        else:
+            rest = docs[at:end] - (significand * np.arange(covered) >> exponent)
+            low, high = int(rest.min()), int(rest.max())
         intercept = min(max(0, (low + high) // 2, high - epsilon - 1), low + epsilon) if covered > 1 else low
         out.append(Line(at, covered, intercept, exponent, significand))
         if most_bytes is not None:

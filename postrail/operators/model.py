@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import bit_width
 from ..sources.store import Index
 from ..sources.tables import validate
-from .lines import EPSILONS, Line, fit, residuals
+from .lines import EPSILONS, SHORT, Line, fit, residuals
 
 CHUNK = 1 << 18
 _METRICS = "list_id long, chunk long, epsilon int, n long, n_segments long, n_exceptions long, first_max long, covered_max long, intercept_max long, exponent_max int, significand_max long, first_doc long, last_doc long"
@@ -86,30 +86,51 @@ def _measure(epsilons: tuple[int, ...]):
 def size_of(n: int, lines: list[Line], n_exceptions: int, epsilon: int) -> int:
     """The encoded size in bytes of a list of one chunk, as `with_sizes` has it."""
     words = lambda bits: -(-bits // 64)
-    tops = np.array(lines, np.int64).max(0).tolist()
+    tops = list(map(max, zip(*lines)))
     wide, shift = epsilon.bit_length(), shift_of(epsilon)
     fields = sum(words(len(lines) * tops[i].bit_length()) for i in (0, 2, 3, 4))
     corrections = words(n * (wide - shift)) + (words(n_exceptions * (wide + 1)) if shift else 0)
     return 8 * (fields + corrections) + (n + n_exceptions) // 8
 
 
-#: Bounds from the likeliest on; the order decides how soon others are given up, not which is chosen.
-_LIKELY = sorted(EPSILONS, key=lambda e: abs(e.bit_length() - 6))
+def likely(docs: np.ndarray, epsilons: tuple[int, ...]) -> list[int]:
+    """The bounds from the likeliest on; the order decides how soon others are given up, not which is chosen.
+
+    A bound pays while it is not far above the gaps of the list, and never above what makes one line of it.
+    """
+    n = len(docs)
+    chord = docs[0] + (docs[-1] - docs[0]) / max(1, n - 1) * np.arange(n)
+    guess = min(int(np.abs(docs - chord).max()), 5 * int(docs[-1] - docs[0]) // max(1, n - 1)).bit_length()
+    return sorted(epsilons, key=lambda e: (abs(e.bit_length() - guess), e))
+
+
+def _few_exceptions(plain: list[int], lines: list[Line], epsilon: int) -> int:
+    """`exceptions` of a short list, with plain numbers."""
+    limit, count = epsilon >> shift_of(epsilon), 0
+    for first, covered, intercept, exponent, significand in lines:
+        before = 0
+        for j in range(covered):
+            e = plain[first + j] - (significand * j >> exponent) - intercept
+            count += abs(e - before) > limit
+            before = e
+    return count if shift_of(epsilon) else 0
 
 
 def best(docs: np.ndarray, epsilons: tuple[int, ...]) -> tuple[int, list[Line]]:
     """The bound with the least size, ties to the smaller, and its lines."""
     found: tuple | None = None
-    for epsilon in sorted(epsilons, key=_LIKELY.index):
+    plain, short = docs.tolist(), len(docs) < 4 * SHORT
+    for epsilon in likely(docs, epsilons):
         room = None
         if found:
             fixed = -(-len(docs) * (epsilon.bit_length() - shift_of(epsilon)) // 64) * 8 + len(docs) // 8
             room = found[0] - fixed
             if room < 0:
                 continue
-        lines = fit(docs, epsilon, room)
+        lines = fit(docs, epsilon, room, plain)
         if lines is not None:
-            size = size_of(len(docs), lines, exceptions(residuals(docs, lines), lines, epsilon), epsilon)
+            n_exceptions = _few_exceptions(plain, lines, epsilon) if short else exceptions(residuals(docs, lines), lines, epsilon)
+            size = size_of(len(docs), lines, n_exceptions, epsilon)
             if not found or (size, epsilon) < found[:2]:
                 found = size, epsilon, lines
     return found[1:]

@@ -346,10 +346,10 @@ register(f"SELECT round(avg(mean_gap), 6) AS mean_of_means, round(avg(var_gap),
     lambda s, d: stats.gap_totals(supp(s, d)).select(F.round("mean_of_means", 6).alias("mean_of_means"), F.round("mean_of_vars", 4).alias("mean_of_vars"))
 )
 modelled(
-    "SELECT list_id, seg_id, count(*) AS gaps, round(avg(gap), 6) AS mean_gap, round(var_pop(gap), 3) AS var_gap FROM (SELECT s.list_id, seg_id, unnest(list_transform(range(1, covered), lambda j: d[first + j + 1] - d[first + j])) AS gap FROM segments s JOIN w USING (list_id, epsilon)) GROUP BY list_id, seg_id",
+    "SELECT list_id, seg_id, count(*) AS gaps, round(avg(gap), 6) AS mean_gap, round(var_pop(gap), 6) AS var_gap FROM (SELECT s.list_id, seg_id, unnest(list_transform(range(1, covered), lambda j: d[first + j + 1] - d[first + j])) AS gap FROM segments s JOIN w USING (list_id, epsilon)) GROUP BY list_id, seg_id",
     "gap_statistics_by_segment",
     lists="supp",
-)(lambda s, d: _longs(stats.gap_statistics_by_segment(supp63(s, d)).select("list_id", "seg_id", "gaps", F.round("mean_gap", 6).alias("mean_gap"), F.round("var_gap", 3).alias("var_gap"))))
+)(lambda s, d: _longs(stats.gap_statistics_by_segment(supp63(s, d)).select("list_id", "seg_id", "gaps", F.round("mean_gap", 6).alias("mean_gap"), F.round("var_gap", 6).alias("var_gap"))))
 register(f"SELECT list_id, 4 * count(*) AS raw_bytes FROM ({SUPP}) GROUP BY list_id", "raw_size")(lambda s, d: stats.raw_size(supp(s, d)))
 register(f"SELECT list_id, CAST(count(*) * (2 + greatest(ceil(log2((max(doc_id) + 1) / count(*))), 0)) AS BIGINT) AS ef_bits FROM ({SUPP}) GROUP BY list_id", "elias_fano_size")(lambda s, d: stats.elias_fano_size(supp(s, d)))
 _STEPS = "SELECT list_id, unnest(list_transform(range(0, covered), lambda j: abs(residual[j + 1] - CASE WHEN j = 0 THEN 0 ELSE residual[j] END))) AS v FROM segments"
