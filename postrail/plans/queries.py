@@ -261,8 +261,8 @@ _SEGMENTS = ("list_id", "seg_id", "first", "covered", "intercept", "slope_expone
 modelled(f"SELECT {', '.join(_SEGMENTS)} FROM segments", "segments_table", lists="supp")(lambda s, d: _longs(supp63(s, d).segments.select(*_SEGMENTS)))
 modelled("SELECT epsilon, count(*) AS lists FROM lists GROUP BY epsilon", "epsilon_histogram")(lambda s, d: _longs(stats.epsilon_histogram(parts(s, d).lists)))
 modelled("SELECT list_id, seg_id, covered FROM segments", "covered", lists="supp")(lambda s, d: _longs(stats.covered(supp63(s, d).segments)))
-modelled("SELECT list_id, first + j AS pos, seg_doc AS doc_id FROM (SELECT s.list_id, first, unnest(range(0, covered)) AS j, unnest(d[first + 1 : first + covered]) AS seg_doc FROM segments s JOIN w USING (list_id, epsilon) WHERE s.list_id = 1 AND seg_id = 2)", "decode_segment", lists="supp")(
-    lambda s, d: decoding.decode_segment(supp63(s, d).segments, 1, 2)
+modelled("SELECT list_id, first + j AS pos, seg_doc AS doc_id FROM (SELECT s.list_id, first, unnest(range(0, covered)) AS j, unnest(d[first + 1 : first + covered]) AS seg_doc FROM segments s JOIN w USING (list_id, epsilon) WHERE s.list_id = 1 AND seg_id = 0)", "decode_segment", lists="supp")(
+    lambda s, d: decoding.decode_segment(supp63(s, d).segments, 1, 0)
 )
 _DIFFS = "SELECT list_id, epsilon, seg_id, first + j AS pos, residual[j + 1] AS residual, diffs[j + 1] AS diff, epsilon >= 3 AND abs(diffs[j + 1]) > inline AS is_exception FROM (SELECT *, unnest(range(0, covered)) AS j FROM segments)"
 _DIFF_COLUMNS = ("list_id", "epsilon", "seg_id", "pos", "residual", "diff", "is_exception")
