@@ -17,15 +17,19 @@ class Index(NamedTuple):
     segments: DataFrame
 
 
-def save_index(index: Index, path: str, parts: int | None = None) -> None:
-    """Writes both tables; segments are ranged and sorted by list and least posting, so that row-group statistics prune scans."""
-    index.lists.write.mode("overwrite").parquet(f"{path}/lists")
-    _ranged(index.segments, parts).write.mode("overwrite").parquet(f"{path}/segments")
+#: What segments are sorted by.
+KEYS = ("list_id", "seg_min_doc")
+
 
+def save_index(index: Index, path: str, parts: int | None = None) -> None:
+    """Writes both tables; segments are ranged and sorted by list and least posting, so that row-group statistics prune scans.
 
-def _ranged(segments: DataFrame, parts: int | None) -> DataFrame:
-    keys = ["list_id", "seg_min_doc"]
-    return (segments.repartitionByRange(parts, *keys) if parts else segments.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    Ranging reads the segments twice, so they are settled first and lines are fitted once.
+    """
+    own = settle(index)
+    own.lists.write.mode("overwrite").parquet(f"{path}/lists")
+    ranged = own.segments.repartitionByRange(parts, *KEYS) if parts else own.segments.repartitionByRange(*KEYS)
+    ranged.sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(f"{path}/segments")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,13 +44,12 @@ def scratch(spark: SparkSession) -> str:
 
 
 def settle(index: Index, path: str | None = None) -> Index:
-    """The index stored (in a scratch folder if no path is given) and loaded again; lines are fitted once, and scans can be pruned."""
-    spark = index.segments.sparkSession
-    path = path or scratch(spark)
-    segments = _ranged(index.segments, None)
-    segments.write.mode("overwrite").parquet(f"{path}/segments")
+    """The index stored as it is dealt (in a scratch folder if no path is given), each part sorted, and loaded again; lines are fitted once."""
     from ..operators.model import lists_of
 
+    spark = index.segments.sparkSession
+    path = path or scratch(spark)
+    index.segments.sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(f"{path}/segments")
     lists_of(spark.read.parquet(f"{path}/segments")).write.mode("overwrite").parquet(f"{path}/lists")
     return load_index(spark, path)
 
