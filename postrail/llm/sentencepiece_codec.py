@@ -10,7 +10,8 @@ from a word into the space mark that follows it. The normalised text is then cut
 distinct word is merged once per worker and remembered; the merges, and so the ids, are the same.
 
 Null and empty texts have no ids, no spans and decode to the empty text. Ties do not occur; repeated
-rows are coded each on its own; other columns than those asked for are dropped.
+rows are coded each on its own; an empty table has no rows; other columns than those asked for are dropped. A very long text is coded in
+parts that end between words, where the model allows that.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import pieces, raw_texts
 SPACE = "▁"
 #: A model file beyond this size is refused rather than broadcast.
 MODEL_BYTES = 64 << 20
+#: Bytes of a text beyond which it is coded in parts, and where a part may end.
+LONG, _WORD_END = 1 << 19, re.compile(rb"(?<! )(?<!\xe2\x96\x81) ")  # not after a mark that the text has itself
 #: Distinct words that a worker's younger memory holds; an older one of that size is kept beside it.
 REMEMBERED = 150_000
 
@@ -140,23 +143,35 @@ class Codec:
         self.unknown = self.library.unk_id()
         own = [p for p, k in symbols if k in (1, 4, 5)]
         words = kind == 2 and self.rules.escape and not any(k == 4 for _, k in symbols) and not any(SPACE in p.lstrip(SPACE) for p in own)
+        self.words = words
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if words else r"(?s:.+)")
         self.known: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
 
-    def normalise(self, raw: bytes) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes, and for each (and their end) the offset of the original byte."""
+    def plain(self) -> bool:
+        """Whether normalising only writes a mark for each space and one before the text."""
+        return not self.map.units and not self.rules.squeeze and self.rules.escape and not self.rules.suffix
+
+    def normalise(self, raw: bytes, begins: bool = True) -> tuple[bytes, np.ndarray]:
+        """Normalised bytes, and for each (and their end) the offset of the original byte. `begins` says whether a text begins here."""
         if not raw:
             return b"", np.zeros(1, np.int64)
-        if not self.map.units and not self.rules.squeeze and self.rules.escape and not self.rules.suffix:
+        if self.plain():
             data = np.frombuffer(raw, np.uint8)
             origin = np.repeat(np.arange(len(raw)), np.where(data == 32, 3, 1))
-            head = 3 * self.rules.dummy_prefix
+            head = 3 * (self.rules.dummy_prefix and begins)
             mark = SPACE.encode()
             align = np.concatenate([np.zeros(head, np.int64), origin, [len(raw)]])
-            return mark * self.rules.dummy_prefix + raw.replace(b" ", mark), align
+            return mark * (head // 3) + raw.replace(b" ", mark), align
         return self._walk(raw)
 
+    def parts(self, raw: bytes) -> list[int]:
+        """Where a text can be cut into parts of about `LONG` bytes without a change: before spaces that follow a word."""
+        cuts = [0]
+        while self.words and self.plain() and len(raw) - cuts[-1] > LONG and (found := _WORD_END.search(raw, cuts[-1] + LONG)):
+            cuts.append(found.start())
+        return [*cuts, len(raw)]
+
     def _walk(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         rules, out, align, at = self.rules, bytearray(), [], 0
         mark = SPACE.encode() if rules.escape else b" "
@@ -215,9 +230,21 @@ class Codec:
         return self.encode_all([raw])[0]
 
     def encode_all(self, raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As `encode` for each; long texts part by part, the others together."""
+        long = [i for i, raw in enumerate(raws) if len(raw) > LONG]
+        out = self._encode([b"" if len(raw) > LONG else raw for raw in raws])
+        for i in long:
+            cuts, found = self.parts(raws[i]), []
+            for a, b in zip(cuts, cuts[1:]):
+                ((ids, begins, ends),) = self._encode([raws[i][a:b]], a == 0)
+                found.append((ids, (begins + a).astype(np.int32), (ends + a).astype(np.int32)))
+            out[i] = tuple(np.concatenate(x) for x in zip(*found))
+        return out
+
+    def _encode(self, raws: list[bytes], begins_text: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         cut, out, texts = self.cut.findall, [], []
         for raw in raws:
-            text, align = self.normalise(raw)
+            text, align = self.normalise(raw, begins_text)
             texts.append((cut(text.decode("utf-8", "replace")), align))
         self.learn(set(chain.from_iterable([words for words, _ in texts])))
         known = self.known.__getitem__

@@ -183,6 +183,17 @@ def test_sentencepiece_round_trip(spark):
         assert r.span_end == ends
 
 
+def test_parts_of_long_texts_are_coded_as_the_whole(monkeypatch):
+    own = sentencepiece_codec.Codec(open(tokenizer_path(), "rb").read())
+    texts = [(t or "").encode() for t in ODD + made(6, 30) + ["a▁ b▁ c ▁ d▁  e", "▁ x▁ ▁ y  z"]]
+    whole = own.encode_all(texts)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(sentencepiece_codec, "LONG", size)
+        assert max(len(own.parts(t)) for t in texts) > 5
+        for a, b in zip(whole, own.encode_all(texts)):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
 def test_character_map_walk():
     """A map with A -> a, AB -> xyz and fullwidth space -> space, laid out as a double array by hand."""
     words = {b"A": b"a", b"AB": b"xyz", "　".encode(): b" "}
