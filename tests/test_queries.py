@@ -56,3 +56,17 @@ def test_every_term_has_a_list(spark):
 def test_every_list_is_asked(spark, tables, name):
     lists = tables.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0]
     assert QUERIES[name](spark, DATA).where("list_id >= 0").select("list_id").distinct().count() == lists
+
+
+def test_codes_of_a_lone_symbol(spark, tmp_path):
+    """Lists of one posting, and of gaps so wide that all residuals are 0, have one symbol; its code is complete as well."""
+    rows = [(1, 7), *[(2, i * i * 1_000_003) for i in range(1, 50)], *[(3, i * i % 997) for i in range(90)]]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = QUERIES["huffman_covers"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(ORACLE["huffman_covers"])
+    names = [c[0] for c in want.description]
+    got = [tuple(r) for r in df.collect()]
+    assert canonical(df.columns, got) == canonical(names, want.fetchall())
+    assert {i: sum(r[0] == i for r in got) == 1 for i in (1, 2, 3)} == {1: True, 2: True, 3: False}
