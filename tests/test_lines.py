@@ -8,9 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from postrail.functions.bits import packed, unpacked
+from postrail.functions.bits import flag_runs, packed, packed_runs, unflagged_runs, unpacked, unpacked_runs
 from postrail.operators.lines import EPSILONS, GREATEST, fit, reach, residuals
-from postrail.operators.model import best, exceptions, size_of
+from postrail.operators.model import _fit, best, exceptions, size_of
 from postrail.operators.stats import code_lengths, codes_of, huffman_decode, patched_bits
 
 RNG = random.Random(11)
@@ -129,3 +129,35 @@ def test_huffman_round_trip(values):
 def test_patched_bits():
     assert patched_bits(np.array([1] * 128), 128) == 128 + 16
     assert patched_bits(np.array([1] * 127 + [2**20]), 128) == 128 + (7 + 20) + 16
+
+
+def batch_of(lists):
+    import pyarrow as pa
+
+    n = len(lists)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([None] * n, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["list_id", "chunk", "docs"])
+
+
+def test_short_lists_are_fitted_side_by_side():
+    """A batch of many lists gives few batches of lines, and the lines that each list has by itself."""
+    rng = random.Random(7)
+    lists = [sorted(rng.sample(range(base, base + 10 ** rng.randint(3, 7)), rng.randint(1, 130))) for base in (0, 3, 2**31, GREATEST - 10**7 - 1) for _ in range(60)]
+    lists += [[0], [GREATEST - 1], [GREATEST - 2, GREATEST - 1], [0, GREATEST - 1], list(range(5, 105)), list(range(400))]
+    out = list(_fit(EPSILONS)(iter([batch_of(lists)])))
+    assert len(out) <= 2
+    rows = sorted((x for b in out for x in b.to_pylist()), key=lambda x: (x["list_id"], x["start"]))
+    want = [best(np.array(docs), EPSILONS) for docs in lists]
+    assert [(x["list_id"], x["epsilon"], x["start"], x["covered"], x["intercept"], x["slope_exponent"], x["slope_significand"]) for x in rows] == [(i, e, *line) for i, (e, lines) in enumerate(want) for line in lines]
+    assert [v for x in rows for v in x["residual"]] == [v for docs, (_, lines) in zip(lists, want) for v in residuals(np.array(docs), lines).tolist()]
+    assert [sum(x["exceptions"] for x in rows if x["list_id"] == i) for i in range(len(lists))] == [exceptions(residuals(np.array(docs), lines), lines, e) for docs, (e, lines) in zip(lists, want)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 63), st.lists(st.integers(0, 2**63 - 1), max_size=40)), min_size=1, max_size=12))
+def test_packing_of_many_runs(runs):
+    values = [np.array([v % (1 << width) for v in own], np.int64) for width, own in runs]
+    counts, widths, flat = np.array([len(v) for v in values]), np.array([w for w, _ in runs]), np.concatenate(values)
+    raw, at = packed_runs(flat, counts, widths)
+    assert [raw[a:b].tobytes() for a, b in zip(at, at[1:])] == [packed(v, w) for v, (w, _) in zip(values, runs)]
+    assert unpacked_runs(raw, at[:-1], counts, widths).tolist() == flat.tolist()
+    bits, at = flag_runs(flat % 2 == 1, counts)
+    assert len(bits) == sum(-(-n // 8) for n in counts) and unflagged_runs(bits, at[:-1], counts).tolist() == (flat % 2 == 1).tolist()
