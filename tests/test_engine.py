@@ -307,3 +307,18 @@ def test_entry_without_the_corpus_part(spark):
     broken = run(f"import sys; sys.modules['ahocorasick'] = None; {rest}")
     if os.path.isdir(os.path.join(here, "postrail", "llm")):  # a library that is missing is no reason to go without
         assert broken.returncode and "ahocorasick" in broken.stderr
+
+
+def test_a_key_is_met_once_in_an_appended_index(spark, tmp_path):
+    """However many batches there are, keys aren't multiplied by them, repeated keys give one row, and far lines aren't joined away."""
+    docs = {1: list(range(0, 4000, 7)), 2: [5, 2**21, 2**22 + 1, 4_000_000_000]}
+    for number in range(5):
+        own = [(i, d) for i, v in docs.items() for j, d in enumerate(v) if j % 5 == number or j % 11 == 0]
+        store_batch(spark.createDataFrame(own, "list_id long, doc_id long"), str(tmp_path), number, 15)
+    segments = load_appended(spark, str(tmp_path)).segments
+    keys = [(i, k) for i in (1, 2, 3) for k in (-5, 0, 1, 6, 7, 3990, 3991, 3999, 2**20, 2**21, 2**21 + 1, 2**22 + 1, 2**22 + 2, 2**32)] * 2
+    found = [tuple(r) for r in search.next_geq_on(segments, spark.createDataFrame(keys, "list_id long, key long")).collect()]
+    assert sorted(found, key=str) == sorted({(i, k, min((d for d in docs.get(i, []) if d >= k), default=None)) for i, k in keys}, key=str)
+    asked = spark.range(2000).selectExpr("1L AS list_id", "id AS key")
+    plan = search.next_geq_on(segments, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(list_id" not in plan and "array_min" not in plan
