@@ -267,6 +267,21 @@ def test_no_single_exchange_is_left():
             assert likelihood(pairs, moved) <= best + 1e-9
 
 
+def test_exchange_goes_on_until_no_word_moves():
+    """However many rounds that takes: in these tables moves are left after six."""
+    for seed in (0, 3):
+        rng = np.random.default_rng(seed)
+        pairs = rng.poisson(2, (60, 60)) * rng.integers(0, 2, (60, 60)).astype(float)
+        label = brown.exchange(pairs, 8, movable=56)
+        best = likelihood(pairs, label)
+        for w in range(56):
+            for c in range(8):
+                moved = label.copy()
+                moved[w] = c
+                assert likelihood(pairs, moved) <= best + 1e-6
+        assert best > likelihood(pairs, brown.exchange(pairs, 8, 6, movable=56))
+
+
 def test_brown_scores_by_plain_counting(spark, monkeypatch):
     """Transitions, emissions and perplexity recomputed word by word, given the classes."""
     monkeypatch.setattr(brown, "TABLE", 40)
