@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -34,8 +35,10 @@ SPACE = "▁"
 MODEL_BYTES = 64 << 20
 #: Bytes of a text beyond which it is coded in parts, and where a part may end.
 LONG, _WORD_END = 1 << 19, re.compile(rb"(?<! )(?<!\xe2\x96\x81) ")  # not after a mark that the text has itself
-#: Distinct words that a worker's younger memory holds; an older one of that size is kept beside it.
-REMEMBERED = 150_000
+#: Distinct words that a worker's younger memory holds, an older one of that size being kept beside it, and characters of a word beyond which it is merged anew each time.
+REMEMBERED, LONGEST = 50_000, 64
+#: Bytes of text that are coded at once, and words that the library merges in one call.
+CODED_BYTES, MERGED = 1 << 19, 10_000
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -145,8 +148,8 @@ class Codec:
         words = kind == 2 and self.rules.escape and not any(k == 4 for _, k in symbols) and not any(SPACE in p.lstrip(SPACE) for p in own)
         self.words = words
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if words else r"(?s:.+)")
-        self.known: dict[str, tuple] = {}
-        self.before: dict[str, tuple] = {}
+        self.known: dict[str, bytes] = {}  # ids as they lie in an int32 array
+        self.before: dict[str, bytes] = {}
 
     def plain(self) -> bool:
         """Whether normalising only writes a mark for each space and one before the text."""
@@ -214,7 +217,7 @@ class Codec:
         return bytes(out), np.array([*align, end], np.int64)
 
     def learn(self, words: set[str]) -> None:
-        """Merges the words that aren't known. Those not met for a while are forgotten, so memory is bounded."""
+        """Merges the words that aren't known. Those not met for a while are forgotten, and `_encode` forgets long ones, so memory is bounded."""
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
@@ -223,7 +226,9 @@ class Codec:
             known.update((w, before[w]) for w in fresh.intersection(before))
             fresh.difference_update(before)
         fresh = list(fresh)
-        known.update(zip(fresh, map(tuple, self.merger.encode(fresh, num_threads=1))))
+        for at in range(0, len(fresh), MERGED):
+            some = fresh[at : at + MERGED]
+            known.update(zip(some, [array("i", ids).tobytes() for ids in self.merger.encode(some, num_threads=1)]))
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the original byte at which each piece begins and ends."""
@@ -246,13 +251,17 @@ class Codec:
         for raw in raws:
             text, align = self.normalise(raw, begins_text)
             texts.append((cut(text.decode("utf-8", "replace")), align))
-        self.learn(set(chain.from_iterable([words for words, _ in texts])))
+        met = set(chain.from_iterable([words for words, _ in texts]))
+        self.learn(met)
         known = self.known.__getitem__
         for words, align in texts:
-            ids = np.fromiter(chain.from_iterable(map(known, words)), np.int32)
+            ids = np.frombuffer(b"".join(map(known, words)), np.int32)
             ends = np.cumsum(self._lengths(ids, words))
             begins = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
             out.append((ids, align[begins], align[ends]))
+        for word in met:
+            if len(word) > LONGEST:
+                del self.known[word]
         return out
 
     def _lengths(self, ids: np.ndarray, words: list[str]) -> np.ndarray:
@@ -291,7 +300,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", CODED_BYTES):
             rows = own.encode_all(raw_texts(batch.column("text")))
             lists = []
             for part in range(3):

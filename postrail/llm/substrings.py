@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import checkpoint, pieces, raw_texts
+from .common import checkpoint, pieces, raw_texts, trim
 
 WIDTH, SHINGLE = 50, 8
 #: Text of a bucket, windows of a piece, and words of an automaton.
@@ -132,6 +132,7 @@ _WINDOWS = pa.schema([(n, pa.int32() if n == "pos" else pa.int64()) for n in ("b
 
 def _confirm(width: int, bits: int):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        trim()
         known = np.sort(shared.column("anchor").to_numpy())
         if not len(known):
             return _WINDOWS.empty_table()
@@ -165,6 +166,7 @@ _PASSAGES = pa.schema([("owner", pa.int64()), ("body", pa.int64()), ("chunk", pa
 
 def _passages(width: int):
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        trim()
         wanted: dict[tuple, list] = {}
         for owner, body, *where in zip(*(asked.column(c).to_pylist() for c in ("owner", "body", "chunk", "low", "high"))):
             wanted.setdefault((owner, body), []).append(where)
@@ -253,6 +255,7 @@ class Shard:
 
 def _remove(width: int, names: list[str], shard_words: int):
     def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
+        trim()
         shards, held, size = [], [], 0
         for owner, text in zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist()):
             held.append((owner, text.split()))

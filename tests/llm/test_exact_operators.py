@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -194,6 +195,25 @@ def test_parts_of_long_texts_are_coded_as_the_whole(monkeypatch):
             assert all(np.array_equal(x, y) for x, y in zip(a, b))
 
 
+def test_what_a_codec_remembers_is_small():
+    """Some bytes besides a word's own for each word, and nothing of very long words, which are as right the second time."""
+    own, rng = sentencepiece_codec.Codec(open(tokenizer_path(), "rb").read()), random.Random(5)
+    some = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000))
+    long = [" ".join(["".join(rng.choices("abcdefgh", k=n)), "one", "x" * n]) for n in (64, 65, 20_000)]
+    own.encode(b"warm up")
+    tracemalloc.start()
+    try:
+        own.encode(some.encode())
+        held = tracemalloc.get_traced_memory()[0]
+        for _ in range(2):
+            assert all(own.encode(t.encode())[0].tolist() == own.library.encode(t) for t in long)
+        more = tracemalloc.get_traced_memory()[0] - held
+    finally:
+        tracemalloc.stop()
+    assert held < 20_000 * 250 and more < 20_000
+    assert max(map(len, own.known)) <= sentencepiece_codec.LONGEST
+
+
 def test_character_map_walk():
     """A map with A -> a, AB -> xyz and fullwidth space -> space, laid out as a double array by hand."""
     words = {b"A": b"a", b"AB": b"xyz", "　".encode(): b" "}
